@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, mixing, topk
+from larkspur.llm import bpe, minhash, mixing, quality, topk
 from larkspur.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantized(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
@@ -34,8 +38,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cube_mix": op1_cube_mix, "op8_topk": op8_topk, "op9_bpe": op9_bpe}
+    return {"op1_cube_mix": op1_cube_mix, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
