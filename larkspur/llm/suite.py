@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, minhash, mixing, quality, sharding, topk
+from larkspur.llm import bpe, minhash, mixing, pii, quality, sharding, topk
 from larkspur.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,7 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cube_mix": op1_cube_mix, "op3_sharding": op3_sharding, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
