@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, minhash, mixing, pii, quality, sharding, topk
+from larkspur.llm import bpe, licenses, minhash, mixing, pii, quality, sharding, spotsigs, topk
 from larkspur.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarized(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_licenses": op4_licenses, "op6_spotsigs": op6_spotsigs, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
