@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, licenses, minhash, mixing, pii, quality, sharding, spotsigs, topk
-from larkspur.llm.common import table
+from larkspur.llm import bpe, katz, licenses, minhash, mixing, pii, quality, sharding, spotsigs, topk
+from larkspur.llm.common import crc_mod, table
 
 
 OP8_SQL = """
@@ -41,6 +41,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarized(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_licenses": op4_licenses, "op6_spotsigs": op6_spotsigs, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_licenses": op4_licenses, "op5_katz": op5_katz, "op6_spotsigs": op6_spotsigs, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
