@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Java regular expression of one word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A worker's word cache is emptied at this size, so its memory is bounded.
 CACHE_WORDS = 400_000
 
@@ -35,7 +36,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # shuffle files of what is written are of no more use
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -220,3 +220,10 @@ def _buckets(signed: DataFrame) -> DataFrame:
     every = signed.select(F.explode("bands").alias("band"), "node")
     shared = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     return every.join(shared, "band")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps; of rows alike in doc_id and text one."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")

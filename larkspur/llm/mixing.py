@@ -137,3 +137,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     for part in decided:
         rows = rows.unionByName(part)
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"), F.col("key").alias("row_key"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them. Rows that are alike in doc_id and
+    text share their copies evenly, rounded up."""
+    taken = mix(docs).groupBy("row_key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(taken.withColumnRenamed("row_key", "_key"), "_key")
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

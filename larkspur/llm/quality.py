@@ -112,26 +112,17 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return np.vstack([table, np.zeros((1, DIMS))]).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and features: mean and standard deviation of the word vectors."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches):
-        ids, table = WordIds(), shared.value
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = ids.of(text)
-                if len(words):
-                    kinds, counts = np.unique(words, return_counts=True)
-                    rows, share = table[kinds], (counts / len(words)).astype(np.float32)
-                    mean = share @ rows
-                    out.append(np.concatenate([mean, np.sqrt(np.maximum(0, share @ rows**2 - mean**2))]))
-                else:
-                    out.append(np.zeros(2 * DIMS, np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "features"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary")
+def pooled(texts: list[str | None], ids: WordIds, vectors: np.ndarray) -> np.ndarray:
+    """Features of texts: mean and standard deviation of the word vectors."""
+    out = np.zeros((len(texts), 2 * DIMS))
+    for i, text in enumerate(texts):
+        words = ids.of(text)
+        if len(words):
+            kinds, counts = np.unique(words, return_counts=True)
+            rows, share = vectors[kinds], (counts / len(words)).astype(np.float32)
+            mean = share @ rows
+            out[i] = np.concatenate([mean, np.sqrt(np.maximum(0, share @ rows**2 - mean**2))])
+    return out
 
 
 class Network:
@@ -178,22 +169,58 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, 2 * DIMS).astype(float)
+class Model:
+    """Word vectors and the network; fixed in size."""
 
+    def __init__(self, vectors: np.ndarray, network: Network):
+        self.vectors, self.network = vectors, network
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row."""
-    features = durable(pooled(docs, context_vectors(docs)))
+    def score(self, texts: list[str | None], ids: WordIds) -> np.ndarray:
+        return self.network.score(pooled(texts, ids, self.vectors))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Vectors from all documents, the network from at most max_labelled labelled ones."""
+    vectors = context_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(crc_mod(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT_IS)
-    sample = features.dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
-    network = docs.sparkSession.sparkContext.broadcast(Network(_matrix(list(sample["features"])), sample["quality"].to_numpy(float)))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+
+    def run(batches):
+        ids = WordIds()
+        for batch in batches:
+            x = pooled(batch.column("text").to_pylist(), ids, shared.value).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "features"])
+
+    # at most max_labelled ids, whatever the tables' size
+    rows = docs.select("doc_id", "text").join(F.broadcast(durable(known)), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    sample = rows.mapInArrow(run, "doc_id long, quality int, features binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    x = np.frombuffer(b"".join(sample["features"]), "<f4").reshape(-1, 2 * DIMS).astype(float)
+    return Model(vectors, Network(x, sample["quality"].to_numpy(float)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        ids = WordIds()
         for batch in batches:
-            found = network.value.score(_matrix(batch.column("features").to_pylist()))
+            found = shared.value.score(batch.column("text").to_pylist(), ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_IS).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score at least so high."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        ids = WordIds()
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist(), ids) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import bpe, katz, licenses, minhash, mixing, pii, quality, sharding, spotsigs, topk
 from larkspur.llm.common import crc_mod, table
 
@@ -51,7 +52,8 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_licenses": op4_licenses, "op5_katz": op5_katz, "op6_spotsigs": op6_spotsigs, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
+    return {"pipeline": corpus_pipeline.run, "op1_cube_mix": op1_cube_mix, "op2_pii": op2_pii, "op3_sharding": op3_sharding, "op4_licenses": op4_licenses, "op5_katz": op5_katz, "op6_spotsigs": op6_spotsigs, "op7_quality": op7_quality, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
