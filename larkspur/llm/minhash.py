@@ -7,15 +7,17 @@
 3. Pairs whose signatures agree in less than SIGNATURE_LEAST of the minima or whose set sizes
    rule a link out are dropped; the rest is confirmed on full shingle sets.
 4. Alternating large-star and small-star joins give components.
-5. Buckets in which nodes besides the smallest lie in different components still hold untried pairs:
-   their nodes are compared by signature in blocks of at most BLOCK nodes a side, pairs across
-   components only; what passes is confirmed like before, and the components are taken again.
+5. Buckets in which nodes besides the smallest lie in different components still hold untried pairs. While
+   such a bucket has more than SMALL nodes and rounds make PROGRESS, steps 2 to 4 are repeated without the smallest nodes, which
+   have been tried with all; one group of near copies is one component after a few rounds.
+6. In what is left, nodes of different components meet in blocks of at most BLOCK nodes a side, where pairs are
+   compared by signature and full sets; only links leave the blocks, and the components are taken again.
 
 A pair of similarity 0.75 shares a band with probability 1 - (1 - 0.75**5)**40 > 0.99998 and passes
 the signature check with probability > 0.99999; higher similarities do better.
 
 Scale: narrow shuffles (band, node, size); hot buckets are split by skew joins in step 2 and by
-blocks in step 5; full sets travel only for nodes in surviving pairs. Nothing is collected.
+blocks in step 6; full sets travel only for nodes in surviving pairs. Nothing is collected.
 
 Defined results: a null or empty text, or one without words, has an empty set and stays alone; fewer than five
 words make one shingle of the whole sequence; rows that repeat a doc_id and text are copies; rows with a null doc_id take
@@ -37,7 +39,11 @@ from larkspur.llm.common import WordHashes, durable, shingles, words_of
 WIDTH = 5
 ROWS, BANDS = 5, 40
 SIGNATURE_LEAST = 0.6
-BLOCK = 256
+BLOCK = 1024
+#: Buckets are paired by their smallest nodes, one after the other, until untried nodes of mixed ones are so few.
+SMALL = 2048
+#: ... or until a round leaves more than this share of the untried pairs.
+PROGRESS = 0.7
 #: Percent of the union that the intersection must reach.
 LEAST_PERCENT = 75
 
@@ -64,6 +70,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view("i8")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets (sorted, distinct) are near enough."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= LEAST_PERCENT * (len(both) - shared)
+
+
 def content_key(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
@@ -133,13 +147,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            links = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                links.append(100 * shared >= LEAST_PERCENT * (len(both) - shared))
+            sides = zip(*([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")))
+            links = [linked(x, y) for x, y in sides]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(links, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
@@ -166,49 +175,75 @@ def components(links: DataFrame) -> DataFrame:
     return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots))
 
 
-def _across(band: DataFrame, signed: DataFrame, comps: DataFrame) -> DataFrame:
-    """Signature-near pairs of different components in buckets that may hold untried pairs."""
+def _untried(band: DataFrame, comps: DataFrame) -> DataFrame:
+    """(band, node, comp, m) where pairs of different components are untried: without each bucket's smallest node, whose pairs have all been tried."""
     labelled = band.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     low = labelled.groupBy("band").agg(F.min("node").alias("low"))
-    # all pairs of a bucket's smallest node have been tried
     rest = durable(labelled.join(low, "band").where("node <> low").drop("low"))
     mixed = rest.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    rest = rest.join(mixed.select("band", "m"), "band").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    return durable(rest.join(mixed.select("band", "m"), "band"))
+
+
+def _stars(band: DataFrame) -> DataFrame:
+    """(a, b): each bucket's smallest node with those of other components."""
+    low = band.groupBy("band").agg(F.min(F.struct("node", "comp")).alias("low"))
+    pairs = band.join(low, "band").where((F.col("node") != F.col("low.node")) & (F.col("comp") != F.col("low.comp")))
+    return pairs.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _across(rest: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in what _untried() has left. Nodes of a bucket meet in blocks; a pair is
+    looked at in the first band it shares, by signature, then by full sets."""
+    rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
-    pairs = pairs.join(signed.select("node", "n_shingles", "sig"), "node")
+    pairs = pairs.join(signed.select("node", "n_shingles", "sig").join(sets, "node"), "node")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(part["sig"]), "<u4").reshape(len(part), -1)
+        full = [np.frombuffer(x, "<u8") for x in part["shingle_set"]]
         node, comp, size, mine = (part[c].to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        i, j, here = part["i"].iloc[0], part["j"].iloc[0], int((band_keys(sig[0]) == part["band"].iloc[0]).argmax())
         found = []
         for x in np.flatnonzero(mine == i):
             ok = (comp != comp[x]) & (node > node[x] if i == j else mine == j) & (size * 100 >= size[x] * LEAST_PERCENT) & (size[x] * 100 >= size * LEAST_PERCENT)
             ys = np.flatnonzero(ok)
-            ys = ys[(sig[ys] == sig[x]).mean(1) >= SIGNATURE_LEAST]
-            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in ys]
+            same = sig[ys] == sig[x]
+            first = same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1)
+            for y in ys[(same.mean(1) >= SIGNATURE_LEAST) & (first == here)]:
+                if linked(full[x], full[y]):
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return pairs.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return pairs.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = durable(hashed(docs))
     signed = durable(rows.where("sig is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    band = durable(_buckets(signed))
-    low = band.groupBy("band").agg(F.min("node").alias("low"))
-    stars = band.join(low, "band").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    near = durable(_agreeing(stars, signed))
-    sets = durable(_sets(docs, rows, near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    links = durable(_confirmed(near, sets))
-    comps = components(links)
-    more = durable(_across(band, signed, comps))
-    if not more.isEmpty():
-        sets = _sets(docs, rows, more.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        comps = components(links.union(_confirmed(more, sets)))
+    band = durable(_buckets(signed).withColumn("comp", F.col("node")))
+    comps = None
+
+    def merged(links: DataFrame) -> DataFrame:
+        """Components after more links."""
+        return components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+
+    before = None
+    while True:
+        near = durable(_agreeing(_stars(band), signed))
+        sets = durable(_sets(docs, rows, near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        comps = merged(_confirmed(near, sets))
+        band = _untried(band.select("band", "node"), comps)
+        # pairs that are still untried, at most
+        largest, left = band.select("band", "m").distinct().agg(F.max("m"), F.sum(F.col("m") * F.col("m"))).first()
+        if largest is None:
+            break
+        if largest <= SMALL or before is not None and left > before * PROGRESS:
+            comps = merged(_across(band, signed, _sets(docs, rows, band.select("node").distinct())))
+            break
+        before = left
     found = rows.select("doc_id", "node", "n_shingles").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = found.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = found.join(lowest, "comp", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
