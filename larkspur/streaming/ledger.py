@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF_BITS = 6
@@ -34,9 +34,14 @@ def chain(rows: DataFrame, block: int = 1000) -> DataFrame:
     return hashed.select("block", "rows", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["image_hash"])), ","), 256).alias("block_hash"))
 
 
+def _leaf(bits: int) -> Column:
+    """The low bits of a hash of the id."""
+    return F.conv(F.substring(F.md5(F.col("object_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("long") % (1 << bits)
+
+
 def merkle_leaves(rows: DataFrame, bits: int = LEAF_BITS) -> DataFrame:
     """leaf, rows, leaf_hash; an object's leaf is given by its id alone."""
-    leaf = F.crc32(F.col("object_id").cast("string").cast("binary")) % (1 << bits)
+    leaf = _leaf(bits)
     hashed = rows.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("rows"), F.sort_array(F.collect_list(F.struct("object_id", "image_hash"))).alias("r"))
     return hashed.select("leaf", "rows", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["object_id"].cast("string"), x["image_hash"])), ","), 256).alias("leaf_hash"))
 
@@ -49,7 +54,7 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def repaired(ours: DataFrame, theirs: DataFrame, leaves: DataFrame, bits: int = LEAF_BITS) -> DataFrame:
     """Our rows with the differing leaves replaced by theirs, deletes included."""
-    leaf = (F.crc32(F.col("object_id").cast("string").cast("binary")) % (1 << bits)).alias("leaf")
+    leaf = _leaf(bits).alias("leaf")
     keyed = lambda rows: rows.select("*", leaf)
     return keyed(ours).join(leaves.select("leaf"), "leaf", "left_anti").unionByName(keyed(theirs).join(leaves.select("leaf"), "leaf", "left_semi")).drop("leaf")
 

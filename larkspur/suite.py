@@ -53,10 +53,10 @@ toks AS (SELECT object_id, list_filter(regexp_split_to_array(lower(text), '[^\\p
 WEB_SQL = r"""web AS (
   SELECT page_id AS entry_id, '/web/' || regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') AS path, strlen(html) AS size FROM pages)"""
 FEED_SQL = """feed AS (
-  SELECT event_id, epoch_us(ts) * 1000 AS at, user_id AS object_id, CAST(floor(value) AS BIGINT) AS size,
+  SELECT event_id, epoch_us(ts) * 1000 AS "at", user_id AS object_id, CAST(floor(value) AS BIGINT) AS size,
          CASE event_type WHEN 'signup' THEN 'link' WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'rename' WHEN 'purchase' THEN 'content' ELSE 'delete' END AS op FROM events),
-last AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY object_id) AS n_events, row_number() OVER (PARTITION BY object_id ORDER BY at DESC, event_id DESC) AS k FROM feed) WHERE k = 1),
-ledger AS (SELECT event_id AS seq, object_id, op = 'delete' AS deleted, sha256(object_id || '|' || op || '|' || size) AS image_hash, at AS touched_at
+last AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY object_id) AS n_events, row_number() OVER (PARTITION BY object_id ORDER BY "at" DESC, event_id DESC) AS k FROM feed) WHERE k = 1),
+ledger AS (SELECT event_id AS seq, object_id, op = 'delete' AS deleted, sha256(object_id || '|' || op || '|' || size) AS image_hash, "at" AS touched_at
            FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS k FROM feed) WHERE k = 1)"""
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,17 +241,18 @@ _add("web_entries", lambda s, d: corpus.web(s, d).select("entry_id", "path", "si
 _add("web_hosts", lambda s, d: corpus.web(s, d).groupBy(F.split_part("path", F.lit("/"), F.lit(3)).alias("host")).agg(F.count("*").alias("pages"), F.sum("size").cast("long").alias("bytes")), "SELECT split_part(path, '/', 3) AS host, count(*) AS pages, CAST(sum(size) AS BIGINT) AS bytes FROM web GROUP BY 1", WEB_SQL)
 
 # feeds, ledgers, jobs
-_add("feed_latest_state", lambda s, d: feed.latest_state(corpus.feed(s, d)), "SELECT object_id, event_id, at, op, size, n_events FROM last", FEED_SQL)
-_add("feed_tombstones", lambda s, d: feed.tombstones(corpus.feed(s, d)), "SELECT object_id, at AS deleted_at FROM last WHERE op = 'delete'", FEED_SQL)
+_add("feed_latest_state", lambda s, d: feed.latest_state(corpus.feed(s, d)), 'SELECT object_id, event_id, "at", op, size, n_events FROM last', FEED_SQL)
+_add("feed_tombstones", lambda s, d: feed.tombstones(corpus.feed(s, d)), "SELECT object_id, \"at\" AS deleted_at FROM last WHERE op = 'delete'", FEED_SQL)
 _add("feed_coalesced", lambda s, d: feed.coalesced(corpus.feed(s, d)).select("object_id", "last_op", "size"),
-     "SELECT l.object_id, l.op AS last_op, l.size FROM last l JOIN (SELECT object_id, arg_min(op, (at, event_id)) AS first_op FROM feed GROUP BY 1) f ON l.object_id = f.object_id WHERE NOT (first_op = 'link' AND l.op = 'delete')", FEED_SQL)
+     "SELECT l.object_id, l.op AS last_op, l.size FROM last l JOIN (SELECT object_id, arg_min(op, (\"at\", event_id)) AS first_op FROM feed GROUP BY 1) f ON l.object_id = f.object_id WHERE NOT (first_op = 'link' AND l.op = 'delete')", FEED_SQL)
 _add("feed_generations", lambda s, d: feed.generations(corpus.feed(s, d)),
-     "SELECT object_id, 1 + CAST(sum(CASE WHEN op IN ('upsert', 'content') AND size IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS generation FROM (SELECT *, lag(size) OVER (PARTITION BY object_id ORDER BY at, event_id) AS before FROM feed) GROUP BY 1", FEED_SQL)
+     "SELECT object_id, 1 + CAST(sum(CASE WHEN op IN ('upsert', 'content') AND size IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS generation FROM (SELECT *, lag(size) OVER (PARTITION BY object_id ORDER BY \"at\", event_id) AS before FROM feed) GROUP BY 1", FEED_SQL)
 _add("ledger_latest", lambda s, d: ledger.ledger(corpus.feed(s, d)), "SELECT seq, object_id, deleted, image_hash, touched_at FROM ledger", FEED_SQL)
 _add("ledger_batch", lambda s, d: ledger.batch(ledger.ledger(corpus.feed(s, d)), 100, 5000, 50).select("seq", "object_id"), "SELECT seq, object_id FROM ledger WHERE seq > 100 AND seq <= 5000 ORDER BY seq LIMIT 50", FEED_SQL)
 _add("ledger_minted", lambda s, d: ledger.minted(corpus.feed(s, d).select(F.lit(1).alias("source_id"), "object_id").distinct(), 1000).select("object_id", "seq"), "SELECT object_id, 1000 + row_number() OVER (ORDER BY object_id) AS seq FROM (SELECT DISTINCT object_id FROM feed)", FEED_SQL)
 _add("chain_hash", lambda s, d: ledger.chain(ledger.ledger(corpus.feed(s, d))), "SELECT CAST(floor(seq / 1000) AS BIGINT) AS block, count(*) AS rows, sha256(string_agg(seq || ':' || image_hash, ',' ORDER BY seq)) AS block_hash FROM ledger GROUP BY 1", FEED_SQL)
-_add("merkle_leaves", lambda s, d: ledger.merkle_leaves(ledger.ledger(corpus.feed(s, d))).groupBy().agg(F.count("*").alias("leaves"), F.sum("rows").alias("rows")), "SELECT least(64, count(*)) AS leaves, count(*) AS rows FROM ledger", FEED_SQL)
+_add("merkle_leaves", lambda s, d: ledger.merkle_leaves(ledger.ledger(corpus.feed(s, d))),
+     "SELECT CAST(('0x' || substr(md5(CAST(object_id AS VARCHAR)), 1, 4)) AS BIGINT) % 64 AS leaf, count(*) AS rows, sha256(string_agg(object_id || ':' || image_hash, ',' ORDER BY object_id)) AS leaf_hash FROM ledger GROUP BY 1", FEED_SQL)
 
 
 def _merkle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
