@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A worker's word cache is emptied at this size, so its memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column `doc`, so that no name of theirs can clash with a helper's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, durable, shingles, words_of
+from larkspur.llm.common import WordHashes, durable, packed, shingles, unpacked, words_of
 
 WIDTH = 5
 ROWS, BANDS = 5, 40
@@ -260,5 +260,5 @@ def _buckets(signed: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that near_duplicates() keeps; of rows alike in doc_id and text one."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    rows = packed(docs).withColumns({"id": F.col("doc.doc_id"), "content": F.xxhash64("doc.text")}).join(kept, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return unpacked(rows.dropDuplicates(["id", "content"]), docs)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, n_words
+from larkspur.llm.common import durable, n_words, packed, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source gives more than so many times its size.
@@ -142,6 +142,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them. Rows that are alike in doc_id and
     text share their copies evenly, rounded up."""
-    taken = mix(docs).groupBy("row_key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(taken.withColumnRenamed("row_key", "_key"), "_key")
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = mix(docs).groupBy("row_key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
+    rows = packed(docs).withColumn("row_key", F.xxhash64("doc.doc_id", "doc.text")).join(taken, "row_key")
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

@@ -27,7 +27,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, packed, unpacked
 
 ROUNDS = 3
 CONFIDENT = 0.6
@@ -153,15 +153,16 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; overlapping spans become one, named after the first."""
     found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias("_s")).dropDuplicates(["_d", "_r"])
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_k", key).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_r")), "left")
+    rows = packed(docs).withColumn("_k", F.xxhash64(F.coalesce("doc.text", F.lit(""))))
+    rows = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_r")), "left")
+    text = F.col("doc.text")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        between = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        between = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("out"))
 
     def finish(state: Column) -> Column:
-        return F.concat(F.array_join(state["out"], ""), F.substring(F.col("text"), state["at"] + 1, F.length("text")))
+        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
 
-    return rows.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.aggregate("_s", begin, step, finish))).select(docs.columns)
+    return unpacked(rows.withColumn("doc", F.when(F.col("_s").isNull(), F.col("doc")).otherwise(F.col("doc").withField("text", F.aggregate("_s", begin, step, finish)))), docs)

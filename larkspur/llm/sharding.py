@@ -3,7 +3,7 @@
 Documents with the same link key (here: equal texts) form a hyperedge. Labels start from a hash of
 the document. Each round, the documents of a group want to be where most of their neighbours are;
 a shard admits no more than its quota has room for, so sizes never leave the law's bounds. A group
-larger than a shard has several homes, and its lanes (slices of about LANE documents) go to them in
+larger than a shard has several homes, and its lanes (slices of at most about LANE documents and a quarter of a shard) go to them in
 turn. Documents of a lane with one label are alike, so rounds run on counts: cells (group, lane,
 shard, n), a table no larger than the linked documents. At last, documents take their cells' labels,
 what exceeds a shard's quota and documents without links fill the shards' remaining places in hash
@@ -62,14 +62,14 @@ def _ranked(rows: DataFrame, keys: list[str], buckets: int, order: list[Column],
     return rows.join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_off")).cast("long")).drop("_b", "_r", "_off")
 
 
-def _cells(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+def _cells(rows: DataFrame, shards: int, quota: int) -> tuple[DataFrame, DataFrame]:
     """Linked rows with (link, lane), and the first cells (link, lane, shard, n) with the group's size."""
     salted = rows.where("link is not null").withColumn("salt", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("link", "salt").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("link").agg(F.sum("n").alias("group_n")).where("group_n > 1")
     parts = parts.join(sizes, "link").select("link", "salt", "group_n")
     linked = salted.join(parts, ["link", "salt"]).drop("salt")
-    linked = linked.withColumn("lanes", F.ceil(F.col("group_n") / LANE).cast("int"))
+    linked = linked.withColumn("lanes", F.ceil(F.col("group_n") / float(min(LANE, max(1, quota // 4)))).cast("int"))
     linked = durable(linked.withColumn("lane", F.pmod(F.xxhash64("row", F.lit(6)), F.col("lanes")).cast("int")))
     start = linked.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int"))
     cells = start.groupBy("link", "lane", "shard").agg(F.count("*").alias("n"), F.first("group_n").alias("group_n"), F.first("lanes").alias("lanes"))
@@ -109,7 +109,7 @@ def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     rows = durable(rows)
     total = rows.count()
     quota, extra = divmod(total, shards)
-    linked, cells = _cells(rows, shards)
+    linked, cells = _cells(rows, shards, quota)
     cells = durable(cells)
     cut = None
     for number in range(rounds if quota else 0):
