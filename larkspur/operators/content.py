@@ -117,7 +117,7 @@ def snippets(chunks: DataFrame, word: str) -> DataFrame:
 
 def sanitized(text: Column) -> Column:
     """Control characters (but tab and line ends) and bidirectional marks become U+FFFD."""
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F‎‏‪-‮⁦-⁩]", "�")
+    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200E\u200F\u202A-\u202E\u2066-\u2069]", "\uFFFD")
 
 
 def preview(chunks: DataFrame, object_id: int, generation: int, center: int, around: int = 4, most_bytes: int = 262_144) -> DataFrame:
