@@ -130,13 +130,13 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 3):
         self.prior = float(y.mean()) if len(y) else 0.5
-        self.trained = 0 < self.prior < 1
+        self.trained = bool(len(y)) and 0 < self.prior < 1
         if not self.trained:
             return
         rng = np.random.Generator(np.random.PCG64(seed))
         self.center, self.width = x.mean(0), x.std(0) + 1e-6
         x, check = (x - self.center) / self.width, rng.random(len(y)) < 0.2
-        if not (0 < y[~check].mean() < 1):
+        if len(set(y[~check])) < 2:
             check[:] = False
         w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
