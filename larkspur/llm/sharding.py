@@ -89,8 +89,10 @@ def _round(cells: DataFrame, quota: int, shards: int, number: int) -> DataFrame:
     homes = near.withColumn("home", F.row_number().over(order) - 1).where(F.col("home") < F.ceil(F.col("group_n") / F.lit(float(quota))))
     homes = homes.select("link", F.col("home").cast("int").alias("home"), F.col("shard").alias("to"))
     n_homes = homes.groupBy("link").agg(F.count("*").alias("homes"))
-    wish = cells.join(n_homes, "link").withColumn("home", (F.col("lane") * F.col("homes") / F.col("lanes")).cast("int")).join(homes, ["link", "home"])
-    movers = wish.where("shard <> to")
+    # who is in a home stays; others try the homes in turn, each round another one
+    at_home = homes.select("link", F.col("to").alias("shard"), F.lit(True).alias("at_home"))
+    wish = cells.join(at_home, ["link", "shard"], "left")
+    movers = wish.where("at_home is null").join(n_homes, "link").withColumn("home", F.pmod(F.col("lane") + F.lit(number), F.col("homes")).cast("int")).join(homes, ["link", "home"])
     # admission: large gains first inside each of the lots that share a shard's room
     lots = F.lit(max(1, quota // 5000))
     movers = movers.withColumn("lot", F.pmod(F.xxhash64("link", F.lit(number)), lots).cast("int")).join(F.broadcast(load.withColumnRenamed("shard", "to")), "to")
@@ -99,7 +101,7 @@ def _round(cells: DataFrame, quota: int, shards: int, number: int) -> DataFrame:
     movers = movers.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("free"))))
     keep = ["link", "lane", "lanes", "group_n"]
     split = movers.select(*keep, F.explode(F.array(F.struct(F.col("to").alias("shard"), F.col("go").alias("n")), F.struct("shard", (F.col("n") - F.col("go")).alias("n")))).alias("x")).select(*keep, "x.shard", "x.n").where("n > 0")
-    stay = wish.where("shard = to").select(*keep, "shard", "n")
+    stay = wish.where("at_home").select(*keep, "shard", "n")
     return stay.union(split).groupBy(*keep, "shard").agg(F.sum("n").alias("n")).select("link", "lane", "shard", "n", "group_n", "lanes")
 
 
