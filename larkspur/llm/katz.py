@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import WordHashes, durable, mix64, words_of
 
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 1_500_000
 BUCKET_KEYS = 1_500_000
 GT_MOST = 5
 _END = b""
