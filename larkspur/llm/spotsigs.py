@@ -41,6 +41,8 @@ ANCHORS = frozenset(
 )
 CHAIN = 2
 RANGE_CHARS = 8_000_000
+#: Ranges get larger beyond so many; their bounds are part of the plan.
+MOST_RANGES = 4096
 _TOKENS = re.compile(rb"[a-z0-9_\x80-\xff]+").findall
 
 
@@ -118,7 +120,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprints and likenesses of each text, its edited text and the next document's."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low, chars = docs.agg(F.min("doc_id"), F.sum(F.length("text"))).first()
-    ranges = max(1, math.ceil((chars or 0) / RANGE_CHARS))
+    ranges = min(MOST_RANGES, max(1, math.ceil((chars or 0) / RANGE_CHARS)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
     bounds = sorted({b for b in bounds or [] if b > low})
     placed = docs.withColumn("range", _range_of(F.col("doc_id"), bounds))
