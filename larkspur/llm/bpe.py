@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_NODES = 800_000
-MAX_WORDS = 500_000
+MAX_NODES = 300_000
+MAX_WORDS = 250_000
 #: Code points of documents whose words are held at once.
 BLOCK_CHARS = 500_000
 
@@ -78,7 +78,7 @@ class TrieBpe:
     def stay_apart(self, left: int, right: int) -> bool:
         """Undo the later merge of the two again and again; they stay apart unless a pair across the border would have merged before."""
         result = self.untouched(left, right, float("inf"))
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > 300_000:
             self.apart.clear()
         self.apart[left << 24 | right] = result
         return result
