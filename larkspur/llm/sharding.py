@@ -5,15 +5,15 @@ the document. Each round, the documents of a group want to be where most of thei
 a shard admits no more than its quota has room for, so sizes never leave the law's bounds. A group
 larger than a shard has several homes, and its lanes (slices of at most about LANE documents and a quarter of a shard) go to them in
 turn. Documents of a lane with one label are alike, so rounds run on counts: cells (group, lane,
-shard, n), a table no larger than the linked documents. At last, documents take their cells' labels,
+shard, n), a table no larger than the linked documents. Rounds end when one moves no row. At last, documents take their cells' labels,
 what exceeds a shard's quota and documents without links fill the shards' remaining places in hash
 order.
 
 Law `rows`: counts of any two shards differ by one at most.
 
 Scale: texts are read once and leave as narrow rows; groups are counted through 64 salts and lanes
-of hashes, so a hot group is in no step one key; ranks inside shards come from counts of hash buckets
-and a window in each bucket. Tables of one row for each shard are broadcast.
+of hashes, so a hot group is in no step one key; ranks inside shards, and what is admitted before a row,
+come from counts of hash buckets and a window in each bucket. Tables of one row for each shard are broadcast.
 
 Defined results: a null text has size 16, CRC 0 and no links; empty texts are equal texts; repeated rows are
 separate documents with equal texts; a null doc_id is hashed like any value; an empty table gives no rows.
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import durable
 
 SHARDS = 40
-ROUNDS = 6
+#: A bound; rounds end when one moves no row.
+ROUNDS = 24
 LANE = 200
 SALTS = 64
 #: Documents of a bucket in which ranks are counted.
 BUCKET = 400
+#: Room for each lot, and lanes of a group for each part of a lot: they set how finely admission is dealt out, not who is admitted.
+LOT = 5000
+LOT_LANES = 1000
 OVERHEAD = 16
 
 
@@ -93,16 +97,23 @@ def _round(cells: DataFrame, quota: int, shards: int, number: int) -> DataFrame:
     at_home = homes.select("link", F.col("to").alias("shard"), F.lit(True).alias("at_home"))
     wish = cells.join(at_home, ["link", "shard"], "left")
     movers = wish.where("at_home is null").join(n_homes, "link").withColumn("home", F.pmod(F.col("lane") + F.lit(number), F.col("homes")).cast("int")).join(homes, ["link", "home"])
-    # admission: large gains first inside each of the lots that share a shard's room
-    lots = F.lit(max(1, quota // 5000))
-    movers = movers.withColumn("lot", F.pmod(F.xxhash64("link", F.lit(number)), lots).cast("int")).join(F.broadcast(load.withColumnRenamed("shard", "to")), "to")
-    before = Window.partitionBy("to", "lot").orderBy(F.desc("n"), "link", "lane", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    movers = movers.withColumn("free", F.floor(F.col("room") / lots) - F.coalesce(F.sum("n").over(before), F.lit(0)))
-    movers = movers.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("free"))))
+    # admission against the whole room, large gains first; what stands before a row comes from sums of its gain, its lot and a window inside the lot
+    lots = F.lit(max(1, quota // LOT))
+    movers = movers.withColumn("lot", F.pmod(F.xxhash64("link", F.lit(number)), lots).cast("int")).withColumn("part", (F.col("lane") / LOT_LANES).cast("int"))
+    sums = movers.groupBy("to", "n", "lot", "part").agg(F.sum("n").alias("all"))
+    gains = sums.groupBy("to", "n").agg(F.sum("all").alias("of_n"))
+    gains = gains.withColumn("larger", F.sum("of_n").over(Window.partitionBy("to").orderBy(F.desc("n"))) - F.col("of_n")).drop("of_n")
+    sums = sums.withColumn("earlier", F.sum("all").over(Window.partitionBy("to", "n").orderBy("lot", "part")) - F.col("all")).drop("all")
+    sums = sums.join(gains, ["to", "n"]).select("to", "n", "lot", "part", (F.col("larger") + F.col("earlier")).alias("ahead"))
+    before = Window.partitionBy("to", "n", "lot", "part").orderBy("link", "lane", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    movers = movers.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, ["to", "n", "lot", "part"]).join(F.broadcast(load.withColumnRenamed("shard", "to")), "to")
+    movers = movers.withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.col("ahead") - F.col("own"))))
     keep = ["link", "lane", "lanes", "group_n"]
-    split = movers.select(*keep, F.explode(F.array(F.struct(F.col("to").alias("shard"), F.col("go").alias("n")), F.struct("shard", (F.col("n") - F.col("go")).alias("n")))).alias("x")).select(*keep, "x.shard", "x.n").where("n > 0")
-    stay = wish.where("at_home").select(*keep, "shard", "n")
-    return stay.union(split).groupBy(*keep, "shard").agg(F.sum("n").alias("n")).select("link", "lane", "shard", "n", "group_n", "lanes")
+    moved = F.struct(F.col("to").alias("shard"), F.col("go").alias("n"), F.col("go").alias("moved"))
+    left = F.struct("shard", (F.col("n") - F.col("go")).alias("n"), F.lit(0).cast("long").alias("moved"))
+    split = movers.select(*keep, F.explode(F.array(moved, left)).alias("x")).select(*keep, "x.shard", "x.n", "x.moved").where("n > 0")
+    stay = wish.where("at_home").select(*keep, "shard", "n", F.lit(0).cast("long").alias("moved"))
+    return stay.union(split).groupBy(*keep, "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).select("link", "lane", "shard", "n", "group_n", "lanes", "moved")
 
 
 def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -113,14 +124,14 @@ def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     quota, extra = divmod(total, shards)
     linked, cells = _cells(rows, shards, quota)
     cells = durable(cells)
-    cut = None
+    # a group's movers have tried each of its homes when as many rounds moved nothing
+    turns = -(-(cells.agg(F.max("group_n")).first()[0] or 0) // max(1, quota))
+    idle = 0
     for number in range(rounds if quota else 0):
-        # a cut is a pair of one group's neighbours in different shards, up to what its size forces
-        now = cells.groupBy("link", "shard").agg(F.sum("n").alias("n")).agg(F.count("*")).first()[0]
-        if now == cut:
-            break
-        cut = now
         cells = durable(_round(cells, quota, shards, number))
+        idle = 0 if cells.agg(F.sum("moved")).first()[0] else idle + 1
+        if idle >= turns:
+            break
     # documents of a lane take its cells' labels in order
     lane = Window.partitionBy("link", "lane").orderBy("row", "doc_id")
     placed = linked.withColumn("at", F.row_number().over(lane) - 1)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import minhash, sharding, spotsigs
 
@@ -135,6 +136,17 @@ def test_sharding(docs_of, odd):
     assert (null["size"], null.text_crc32) == (16, 0)
 
 
+def test_sharding_many_rows(spark):
+    """A group of a quarter of many rows gets whole, and small groups do too, however many lots admission has."""
+    key = F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 3, F.lit("hot")).when(F.col("id") % 5 == 0, F.concat(F.lit("g"), F.floor(F.col("id") / 20).cast("string"))).otherwise(F.col("id").cast("string"))
+    rows = spark.range(240_000).select(F.col("id").alias("doc_id"), F.unhex(F.md5(key.cast("binary"))).alias("link")).withColumn("row", F.xxhash64("doc_id", "link"))
+    out = sharding.durable(sharding.shard(rows, 4))
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 240_000 and max(sizes) - min(sizes) <= 1
+    cut = out.groupBy("link").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("homes")).where(F.col("homes") > F.ceil(F.col("n") / 60_000))
+    assert cut.count() == 0
+
+
 def test_native():
     """The kinds that must stay in the JVM build no Python plan."""
     import inspect
