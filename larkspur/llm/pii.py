@@ -6,9 +6,9 @@
    patterns of their own.
 3. Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the score of
    its distinct instances over their number plus one; an instance's score is the noisy-or of its
-   patterns' confidences; seeds stay at 1. ROUNDS times.
-4. Unknown tokens of patterns with CONFIDENT confidence and SUPPORT seeds or more, or of instances with
-   as high a score, become spans of that kind, in addition to the base spans.
+   patterns' confidences; seeds stay at 1. Only patterns of SUPPORT seeds or more are scored. ROUNDS times;
+   instances scored CONFIDENT or more are seeds of the next rounds, so their contexts become patterns too.
+4. Unknown tokens of instances that were so accepted become spans of that kind, in addition to the base spans.
 
 The regular expressions are guarded so that long runs cost linear time: a run that can't match
 from its start can't match from within, so a match starts at a run's start or where the last one ended.
@@ -109,23 +109,31 @@ def discovered(found: DataFrame) -> DataFrame:
     """doc_id, row, kind, start, stop of unknown tokens that bootstrapping accepts."""
     seen = found.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*").where("context <> ''")
     pairs = durable(seen.groupBy("context", "value", "kind").agg(F.count("*").alias("n")))
-    seeds = pairs.where("kind is not null")
-    # instances of a context that holds no seed can't be reached
-    width = pairs.groupBy("context").agg(F.count_distinct("value").alias("instances"), F.count("kind").alias("seeded")).where(F.col("seeded") >= SUPPORT)
-    graph = durable(pairs.where("kind is null").select("context", "value").join(width.select("context", "instances"), "context"))
-    support = durable(seeds.groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds")).join(width.select("context", "instances"), "context"))
-    scores = None
+    # a context of fewer distinct instances can't get SUPPORT
+    width = pairs.groupBy("context").agg(F.count_distinct("value").alias("instances")).where(F.col("instances") >= SUPPORT)
+    seeds = durable(pairs.where("kind is not null").join(width, "context").select("context", "value", "kind", "instances"))
+    graph = durable(pairs.where("kind is null").select("context", "value").join(width, "context"))
+    known = seeds
+    accepted = scores = None
     for _ in range(ROUNDS):
-        gained = support.select("context", "kind", "seeds", "instances", F.col("seeds").cast("double").alias("sum"))
         if scores is not None:
-            own = graph.join(scores, "value").groupBy("context", "kind").agg(F.sum("score").alias("own"))
+            fresh = scores.where(F.col("score") >= CONFIDENT).select("value", "kind")
+            accepted = fresh if accepted is None else durable(accepted.unionByName(fresh))
+            known = seeds.unionByName(graph.join(accepted, "value").select("context", "value", "kind", "instances"))
+        # contexts that hold neither seeds nor accepted instances can't be reached
+        support = known.groupBy("context", "kind").agg(F.count_distinct("value").alias("seeds"), F.first("instances").alias("instances"))
+        gained = support.where(F.col("seeds") >= SUPPORT).withColumn("sum", F.col("seeds").cast("double"))
+        if scores is not None:
+            own = graph.join(scores.where(F.col("score") < CONFIDENT), "value").groupBy("context", "kind").agg(F.sum("score").alias("own"))
             gained = gained.join(own, ["context", "kind"], "left").withColumn("sum", F.col("sum") + F.coalesce("own", F.lit(0.0)))
-        patterns = gained.where(F.col("seeds") >= SUPPORT).select("context", "kind", (F.col("sum") / (F.col("instances") + 1)).alias("confidence"))
-        reached = graph.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))).alias("score"))
+        patterns = gained.select("context", "kind", (F.col("sum") / (F.col("instances") + 1)).alias("confidence"))
+        asked = graph if accepted is None else graph.join(accepted, "value", "left_anti")
+        reached = asked.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))).alias("score"))
         # an instance is of the kind that claims it most
         best = F.max(F.struct("score", "kind"))
         scores = durable(reached.groupBy("value").agg(best.alias("b")).select("value", "b.kind", "b.score"))
-    good = scores.where(F.col("score") >= CONFIDENT).select("value", F.col("kind").alias("as"))
+    good = scores.where(F.col("score") >= CONFIDENT).select("value", "kind")
+    good = (good if accepted is None else accepted.unionByName(good)).withColumnRenamed("kind", "as")
     return seen.where("kind is null").join(good, "value").select("doc_id", "row", F.col("as").alias("kind"), "start", "stop").distinct()
 
 

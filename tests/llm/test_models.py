@@ -98,6 +98,16 @@ def test_pii_bootstrap(docs_of):
     assert text[50] == "hey call me [PHONE] soon" and text[51] == rows[10][1] and text[0] == "some words here call me [PHONE] tomorrow"
 
 
+def test_pii_second_step(docs_of):
+    """Accepted identifiers are seeds: their other context, which holds no base seed, finds one more; one too few don't."""
+    rows = [(i, f"some words here call me +1 555 010 {1000 + i * 7} tomorrow", "a") for i in range(30)]
+    rows += [(50 + i, f"hey call me 0049-30-5551{i} soon", "a") for i in range(5)] + [(60 + i, f"the desk line 0049-30-5551{i} rings", "a") for i in range(5)]
+    rows += [(70, "the desk line 0049-30-77777 rings", "a")]
+    rows += [(80 + i, f"of batch number 0049-30-5551{i} here", "a") for i in range(2)] + [(90, "of batch number 12345678 here", "a")]
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find(docs_of(rows)).collect()}
+    assert got[50] == [("phone", 12, 25)] and got[70] == [("phone", 14, 27)] and got[90] == []
+
+
 def test_redact_odd(docs_of, odd):
     out = pii.redact(docs_of(odd))
     assert out.columns == docs_of(odd).columns and out.count() == len(odd)
