@@ -8,7 +8,8 @@
    its distinct instances over their number plus one; an instance's score is the noisy-or of its
    patterns' confidences; seeds stay at 1. Only patterns of SUPPORT seeds or more are scored. ROUNDS times;
    instances scored CONFIDENT or more are seeds of the next rounds, so their contexts become patterns too.
-4. Unknown tokens of instances that were so accepted become spans of that kind, in addition to the base spans.
+4. Unknown tokens of instances that were so accepted become spans of that kind, wherever they stand, in
+   addition to the base spans.
 
 The regular expressions are guarded so that long runs cost linear time: a run that can't match
 from its start can't match from within, so a match starts at a run's start or where the last one ended.
@@ -32,7 +33,9 @@ from larkspur.llm.common import durable, packed, unpacked
 ROUNDS = 3
 CONFIDENT = 0.6
 SUPPORT = 3
-CONTEXT_CHARS = 64
+#: Characters before a span in which its context is looked for, in turn; then all.
+WINDOWS = (64, 1024, 32_768)
+_BEFORE = r"{}(\S++\s++\S++)\s++$"
 
 #: kind -> pattern (guarded), quick test of the text, in the order in which kinds are listed.
 KINDS = {
@@ -87,9 +90,15 @@ def _valid(kind: str, span: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The two words before an offset, lower case, digits as 0; empty if there are fewer."""
-    before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s+$", 1)), "[0-9]", "0")
+    """The two words before an offset, whole, lower case, digits as 0; empty if there are fewer."""
+    # nearly all fit into the first window; a word that a window cuts asks the next
+    found = F.regexp_extract(F.substring(text, F.lit(1), start), _BEFORE.format("(?:^|\\s)"), 1)
+    for chars in WINDOWS[::-1]:
+        window = F.substring(text, F.greatest(start - chars, F.lit(0)) + 1, F.least(start, F.lit(chars)))
+        inside = F.regexp_extract(window, _BEFORE.format("\\s"), 1)
+        whole = F.regexp_extract(window, _BEFORE.format("(?:^|\\s)"), 1)
+        found = F.when(start <= chars, whole).when(window.rlike(_BEFORE.format("\\s")), inside).otherwise(found)
+    return F.regexp_replace(F.lower(found), "[0-9]", "0")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -107,8 +116,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def discovered(found: DataFrame) -> DataFrame:
     """doc_id, row, kind, start, stop of unknown tokens that bootstrapping accepts."""
-    seen = found.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*").where("context <> ''")
-    pairs = durable(seen.groupBy("context", "value", "kind").agg(F.count("*").alias("n")))
+    seen = found.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*")
+    pairs = durable(seen.where("context <> ''").groupBy("context", "value", "kind").agg(F.count("*").alias("n")))
     # a context of fewer distinct instances can't get SUPPORT
     width = pairs.groupBy("context").agg(F.count_distinct("value").alias("instances")).where(F.col("instances") >= SUPPORT)
     seeds = durable(pairs.where("kind is not null").join(width, "context").select("context", "value", "kind", "instances"))

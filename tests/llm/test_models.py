@@ -108,6 +108,20 @@ def test_pii_second_step(docs_of):
     assert got[50] == [("phone", 12, 25)] and got[70] == [("phone", 14, 27)] and got[90] == []
 
 
+def test_pii_everywhere(docs_of):
+    """Accepted identifiers are marked where they have no context, and contexts are whole words, however long."""
+    rows = [(i, f"some words here call me +1 555 010 {1000 + i * 7} tomorrow", "a") for i in range(9)] + [(50, "hey call me 0049-30-55512 soon", "a")]
+    rows += [(60, "Phone 0049-30-55512", "a"), (61, "0049-30-55512", "a"), (62, "call me  " + " " * 90 + "0049-30-66612", "a"), (63, "not" + "x" * 70 + "call me 0049-30-77712", "a")]
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find(docs_of(rows)).collect()}
+    assert got[50] == [("phone", 12, 25)] and got[60] == [("phone", 6, 19)] and got[61] == [("phone", 0, 13)] and got[62] == [("phone", 99, 112)] and got[63] == []
+    text = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
+    assert text[60] == "Phone [PHONE]"
+    words = ["Ab1", "y" * 70, "z" * 1500, "w" * 40_000]
+    want = {(a, b): f"{a} {b}".lower().replace("1", "0") for a in words for b in words}
+    texts = docs_of([(i, f"start {a} {b} 12345678", "a") for i, (a, b) in enumerate(want)])
+    assert {r.doc_id: r.c for r in texts.select("doc_id", pii._context(F.col("text"), (F.length("text") - 8)).alias("c")).collect()} == dict(enumerate(want.values()))
+
+
 def test_redact_odd(docs_of, odd):
     out = pii.redact(docs_of(odd))
     assert out.columns == docs_of(odd).columns and out.count() == len(odd)
