@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bits that mark odd member names.
 FLAGS = {"absolute": 1, "traversal": 2, "backslash": 4, "empty_part": 8, "drive": 16, "control": 32, "duplicate": 64}
-MOST_MEMBERS = 100_000
+#: Rows of a data frame that a task emits at once.
+ROWS = 100_000
 _SCHEMA = "container string, ordinal int, path string, name string, parent string, raw_name string, is_dir boolean, implicit boolean, encrypted boolean, size long, compressed long, method int, crc32 long, modified long, flags int, error string"
 
 
@@ -37,7 +38,7 @@ def clean_name(raw: str) -> tuple[str, int]:
 def inventory(container: str, data: bytes) -> list[tuple]:
     """Rows of _SCHEMA: members in order, then directories that members imply; one row with an error for what can't be read."""
     try:
-        members = zipfile.ZipFile(io.BytesIO(data)).infolist()[:MOST_MEMBERS]
+        members = zipfile.ZipFile(io.BytesIO(data)).infolist()
     except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError) as e:
         return [(container, *[None] * 14, str(e) or "corrupt")]
     rows, seen = [], {}
@@ -66,8 +67,12 @@ def members(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"]) for r in inventory(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _SCHEMA.split(", ")]).astype({"ordinal": "Int32", "method": "Int32", "flags": "Int32", "size": "Int64", "compressed": "Int64", "crc32": "Int64", "modified": "Int64"})
+            for p, c in zip(b["path"], b["content"]):
+                found = inventory(p, bytes(c))
+                yield from (framed(found[i : i + ROWS]) for i in range(0, len(found), ROWS))
+
+    def framed(rows):
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _SCHEMA.split(", ")]).astype({"ordinal": "Int32", "method": "Int32", "flags": "Int32", "size": "Int64", "compressed": "Int64", "crc32": "Int64", "modified": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, _SCHEMA)
 

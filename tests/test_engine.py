@@ -154,6 +154,18 @@ def test_archives(spark):
     assert archives.members(files).where("error is null").count() == 5
 
 
+def test_archives_of_many_members(spark):
+    """All members and the directories that they imply."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for i in range(100_003):
+            z.writestr(zipfile.ZipInfo(f"d{i // 50_000}/{i}"), "")
+    files = spark.createDataFrame([("t.zip", buffer.getvalue()), ("b.zip", b"junk")], "path string, content binary")
+    found = archives.members(files)
+    assert found.where("not implicit").count() == 100_003 and {r.path for r in found.where("implicit").collect()} == {"d0", "d1", "d2"}
+    assert found.where("error is not null").count() == 1
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / "a/one.txt").write_text("x" * 100)
