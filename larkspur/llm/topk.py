@@ -15,8 +15,8 @@ Scale: pairs of chunk and block are dealt over a grid; a chunk is sent once for
 is what a query set that grows with the table costs. A row of a pair holds one packed chunk and one
 packed block, so a task's memory is bounded; no list is longer than k times the number of chunks.
 
-Defined results: null vectors and those with null or non-finite components take no part; components
-beyond 2**31 in size neither; shorter vectors count as padded with zeros, so an empty one scores
+Defined results: null vectors and those with null or non-finite components take no part; scores and
+scaled components beyond 64 bits count as the nearest such number; shorter vectors count as padded with zeros, so an empty one scores
 0; vectors with null id take no part; rows that repeat an id are separate candidates, and a query
 id counts once, with its smallest vector; an empty table gives no rows.
 """
@@ -35,13 +35,15 @@ K = 10
 NODES = 2
 CHUNK = 2048
 BLOCK = 512
+#: Scores are at most so large in size.
+MOST = 2**63 - 1
 
 
 def quantized(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id and floor(scale * x) of each component, without vectors that take no part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < 2.0**31)), F.lit(False))
-    return embeddings.where(fine).select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("int")).alias("v"))
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    return embeddings.where(fine).select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
 
 
 def _packed(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
@@ -51,11 +53,13 @@ def _packed(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
     def run(part):
         part = part.sort_values(["vec_id"], kind="stable")
         dims = max(map(len, part["v"]))
-        m = np.zeros((len(part), dims), "<i4")
+        m = np.zeros((len(part), dims), "<i8")
         for i, v in enumerate(part["v"]):
             m[i, : len(v)] = v
         ids = part["vec_id"].to_numpy("<i8")
         order = np.lexsort((*m.T[::-1], ids))
+        if m.max(initial=0) < 2**31 and m.min(initial=0) >= -(2**31):
+            m = m.astype("<i4")
         return pd.DataFrame({name: part["pack"].iloc[:1], f"{name}_ids": [ids[order].tobytes()], f"{name}_m": [m[order].tobytes()], f"{name}_dims": [dims]})
 
     keyed = rows.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(packs)))
@@ -64,18 +68,18 @@ def _packed(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
 
 def _unpack(batch, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(batch.column(f"{name}_ids")[i].as_py(), "<i8")
-    m = np.frombuffer(batch.column(f"{name}_m")[i].as_py(), "<i4").reshape(len(ids), -1)
-    return ids, m
+    data, dims = batch.column(f"{name}_m")[i].as_py(), batch.column(f"{name}_dims")[i].as_py()
+    return ids, np.frombuffer(data, "<i8" if len(data) > 4 * len(ids) * dims else "<i4").reshape(len(ids), dims)
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floats where every sum is below 2**53, else by 64-bit integers, else by Python's."""
-    high = float(np.abs(a.astype("i8")).max(initial=0)) * float(np.abs(b.astype("i8")).max(initial=0)) * max(1, a.shape[1])
+    """Exact integer products: by floats where every sum is below 2**53, by 64-bit integers below 2**60, else Python's."""
+    high = float(np.abs(a.astype("f8")).max(initial=0)) * float(np.abs(b.astype("f8")).max(initial=0)) * max(1, a.shape[1])
     if high < 2**53:
         return (a.astype("f8") @ b.astype("f8").T).astype("i8")
-    if high < 2**63:
+    if high < 2**60:
         return a.astype("i8") @ b.astype("i8").T
-    return np.clip(a.astype(object) @ b.astype(object).T, -(2**63), 2**63 - 1).astype("i8")
+    return a.astype(object) @ b.astype(object).T
 
 
 def _local(ids, m, query_ids, q, k, nodes, cutoff=None):
@@ -84,19 +88,21 @@ def _local(ids, m, query_ids, q, k, nodes, cutoff=None):
     m, q = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (m, q))
     edges = np.linspace(0, dims, nodes + 1).astype(int)
     parts = [_dot(q[:, a:b], m[:, a:b]) for a, b in zip(edges, edges[1:])]
+    if any(p.dtype == object for p in parts):
+        parts = [p.astype(object) for p in parts]
     for i, query in enumerate(query_ids):
         other = ids != query
         if cutoff is None:
             near = np.zeros(len(ids), bool)
             for p in parts:
-                score = np.where(other, p[i], np.iinfo("i8").min + 1)
+                score = np.where(other, p[i], min(-MOST, p[i].min(initial=0) - 1))
                 near[np.argpartition(-score, k - 1)[:k] if len(ids) > k else slice(None)] = True
         else:
             near = np.zeros(len(ids), bool)
             for p in parts:
-                near |= p[i] * nodes >= cutoff[i]
+                near |= (p[i] * nodes >= int(cutoff[i])).astype(bool) | (cutoff[i] <= -MOST)
         near = np.flatnonzero(near & other)
-        total = sum(p[i][near] for p in parts)
+        total = np.clip(sum(p[i][near] for p in parts), -MOST, MOST).astype("i8")
         best = np.lexsort((ids[near], -total))[:k]
         if cutoff is not None:
             best = best[total[best] >= cutoff[i]]
@@ -148,6 +154,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, nodes: int = NODES)
         return part[["block"]].iloc[:1].assign(cutoffs=[cut])
 
     at = asked.select("block", "block_ids").mapInArrow(places, "block long, place int, query_id long")
-    cutoffs = at.join(lowest, "query_id", "left").select("block", "place", F.coalesce("cutoff", F.lit(-(2**62))).alias("cutoff")).groupBy("block").applyInPandas(packed_cutoffs, "block long, cutoffs binary")
+    cutoffs = at.join(lowest, "query_id", "left").select("block", "place", F.coalesce("cutoff", F.lit(-MOST)).alias("cutoff")).groupBy("block").applyInPandas(packed_cutoffs, "block long, cutoffs binary")
     final = pairs(asked.join(durable(cutoffs), "block")).mapInArrow(scored(True), rows)
     return final.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -227,6 +227,19 @@ def test_topk(spark):
     assert topk.top_k(topk.quantized(few.limit(0)), F.lit(True)).count() == 0
 
 
+def test_topk_outliers(spark):
+    """Finite components of any size take part."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(60)]
+    rows += [(100 + i, [0.1, -0.2, 3e6 * (i + 1), 0.3, -0.1, 0.2]) for i in range(4)] + [(200, [-1e10, 0.5, 0.5, 1e10, 0.0, 0.0]), (201, [-1e10, 0.5, 0.5, -1e10, 0.0, 1.0]), (202, [0.5, 1e15, 0.0, 0.0, 0.0, 0.0])]
+    got = topk.top_k(topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 100 < 3).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for i in (0, 1, 2, 100, 101, 102, 200, 201, 202):
+        near = lambda s: max(-topk.MOST, min(topk.MOST, s))
+        best = sorted((-near(sum(a * b for a, b in zip(whole[i], v))), j) for j, v in whole.items() if j != i)[:10]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(r, j, -s) for r, (s, j) in enumerate(best, 1)]
+
+
 def test_topk_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 20)
     monkeypatch.setattr(topk, "BLOCK", 3)
