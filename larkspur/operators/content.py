@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import LONGEST_TOKEN, in_order_within, java_regex, phrase_key, query_tokens, tokens
 from larkspur.plans import ast as q
 
-TOP_CHUNKS = 5000
 MOST_MATCHES = 8
 K1, B = 1.2, 0.75
 SNIPPETS, SNIPPET_CHARS = 3, 240
@@ -89,9 +88,9 @@ def _is(word: str):
     return lambda t: t == word
 
 
-def ranked_objects(chunk_scores: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
-    """object_id, score: best chunk plus a tenth of all, over the best chunks."""
-    best = chunk_scores.orderBy(F.desc("score"), "object_id", "ordinal").limit(top)
+def ranked_objects(chunk_scores: DataFrame, top: int | None = None) -> DataFrame:
+    """object_id, score: best chunk plus a tenth of all; over the `top` best chunks, if given."""
+    best = chunk_scores if top is None else chunk_scores.orderBy(F.desc("score"), "object_id", "ordinal").limit(top)
     return best.groupBy("object_id").agg((F.max("score") + 0.1 * F.sum("score")).alias("score"))
 
 

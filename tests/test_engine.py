@@ -128,6 +128,14 @@ def test_regex_plan_is_a_superset(pattern, data):
         assert any(c in lowered for c in choices), (pattern, text, choices)
 
 
+def test_ranked_objects_all(spark):
+    """Every matching object has a score, however many match."""
+    scores = spark.range(5_003).selectExpr("id AS object_id", "0 AS ordinal", "1.0D + id AS score")
+    ranked = content.ranked_objects(scores)
+    assert ranked.count() == 5_003 and ranked.where("object_id = 0").first().score == 1.1
+    assert content.ranked_objects(scores, 10).count() == 10
+
+
 def test_text_files():
     assert textfiles.sniff(b"plain") == "utf-8" and textfiles.sniff("ü".encode("cp1252") + b"bc") == "cp1252"
     assert textfiles.sniff(b"\xff\xfea\0") == "utf-16" and textfiles.sniff("hello there".encode("utf-16-le")) == "utf-16-le" and textfiles.sniff(bytes(range(200))) is None
