@@ -4,8 +4,9 @@ The last token of each prefix of a word follows from shorter prefixes: token t m
 prefix if t is a suffix of it, and t stays apart from the last token of what precedes. So
 distinct words go into a trie in sorted, that is depth-first, order; each node gets its
 last-token state once, and words share the states of their common prefixes. Ids of a word
-are read backwards from its states. No shuffle: each task keeps its own trie and its own
-cache of words, both emptied at a fixed size.
+are read backwards from its states. Words over LONGEST_KEPT bytes are walked in the same way, but leave no
+nodes, as they hardly share prefixes. No shuffle: each task keeps its own trie and its own
+cache of words, both of bounded size, and leaves nothing to the next task but the vocabulary.
 
 Defined results: null text counts as empty; the empty text has no ids and decodes to the
 empty text; repeated rows are encoded alike; other columns of the input don't matter.
@@ -15,17 +16,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from larkspur.llm.common import each
+
 #: Fixed value: the pre-tokenizer's pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_NODES = 300_000
-MAX_WORDS = 250_000
+#: The trie, the cache of words and that of token pairs are emptied at these sizes.
+MAX_NODES = 150_000
+MAX_WORDS = 120_000
+MAX_PAIRS = 150_000
+LONGEST_KEPT = 64
 #: Code points of documents whose words are held at once.
 BLOCK_CHARS = 500_000
 
@@ -78,7 +84,7 @@ class TrieBpe:
     def stay_apart(self, left: int, right: int) -> bool:
         """Undo the later merge of the two again and again; they stay apart unless a pair across the border would have merged before."""
         result = self.untouched(left, right, float("inf"))
-        if len(self.apart) > 300_000:
+        if len(self.apart) >= MAX_PAIRS:
             self.apart.clear()
         self.apart[left << 24 | right] = result
         return result
@@ -112,13 +118,16 @@ class TrieBpe:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Walk the trie, giving new nodes their last token; then read the states backwards."""
+        kept = len(word) <= LONGEST_KEPT
+        if kept and len(self.state) + len(word) > MAX_NODES:
+            self.reset()
         child, state, id_of, endings, apart = self.child, self.state, self.id_of, self.endings, self.apart
         node, path = 0, [-1]
         for end in range(1, len(word) + 1):
             key = node << 8 | word[end - 1]
-            node = child.get(key, 0)
-            if not node:
-                token, start = -1, end - 1
+            token = state[node] if (node := child.get(key, 0)) and kept else -1
+            if token < 0:
+                start = end - 1
                 while start >= 0 and (tail := word[start:end]) in endings:
                     if (found := id_of.get(tail)) is not None and self.whole.get(found, True):
                         if not start:
@@ -127,22 +136,31 @@ class TrieBpe:
                             token = found
                             break
                     start -= 1
-                node = child[key] = len(state)
-                state.append(token)
-            path.append(state[node])
+                if kept:
+                    node = child[key] = len(state)
+                    state.append(token)
+            path.append(token)
         ids, end = [], len(word)
         while end:
             ids.append(path[end])
             end -= len(self.bytes_of[path[end]])
         return ids[::-1]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words; those that aren't kept are in the result only."""
         if len(self.words) + len(words) > MAX_WORDS:
             self.words.clear()
+        once = {}
         for word in sorted(words - self.words.keys()):
-            if len(self.state) > MAX_NODES:
-                self.reset()
-            self.words[word] = np.array(self.encode_word(word.encode("utf-8", "replace")), "<u4").tobytes()
+            data = word.encode("utf-8", "replace")
+            (self.words if len(data) <= LONGEST_KEPT else once)[word] = np.array(self.encode_word(data), "<u4").tobytes()
+        return once
+
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.words.clear()
+        self.apart.clear()
+        self.reset()
 
     def pieces(self, text: str) -> list[tuple[bytes, list[str]]]:
         """(ids of a special token or nothing, words) in order."""
@@ -154,25 +172,25 @@ class TrieBpe:
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        self.learn({w for doc in split for _, words in doc for w in words})
-        get = self.words.__getitem__
+        once, words_ = self.learn({w for doc in split for _, words in doc for w in words}), self.words
+        get = (lambda w: once[w] if w in once else words_[w]) if once else words_.__getitem__
         return [b"".join(special or b"".join(map(get, words)) for special, words in doc) for doc in split]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of texts of about BLOCK_CHARS, with their starts."""
-    start, block, size = 0, [], 0
-    for i, text in enumerate(texts):
+def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Consecutive runs of texts of about BLOCK_CHARS."""
+    block, size = [], 0
+    for text in texts:
         block.append(text or "")
         size += len(block[-1])
         if size >= BLOCK_CHARS:
-            yield start, block
-            start, block, size = i + 1, [], 0
+            yield block
+            block, size = [], 0
     if block:
-        yield start, block
+        yield block
 
 
 _loaded: dict[str, TrieBpe] = {}
@@ -191,14 +209,16 @@ def _mapped(docs: DataFrame, vocabulary: str | None, schema: str, row) -> DataFr
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
-        coder = _coder(spec.value)
-        for batch in batches:
-            out = []
-            for _, block in blocks(batch.column("text").to_pylist()):
-                out += [row(coder, ids) for ids in coder.encode_block(block)]
-            columns = list(zip(*out)) if out else [[] for _ in range(schema.count(","))]
-            fields = [pa.field(*f) for f in row.fields]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, fields))], ["doc_id", *(f.name for f in fields)])
+        coder, fields = _coder(spec.value), [pa.field(*f) for f in row.fields]
+        try:
+            for batch in batches:
+                at = 0
+                for block in blocks(each(batch.column("text"))):
+                    columns = list(zip(*(row(coder, ids) for ids in coder.encode_block(block))))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), *(pa.array(c, f.type) for c, f in zip(columns, fields))], ["doc_id", *(f.name for f in fields)])
+                    at += len(block)
+        finally:
+            coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

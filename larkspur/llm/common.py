@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 #: Java regular expression of one word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: A worker's word cache is emptied at this size, so its memory is bounded.
-CACHE_WORDS = 200_000
+#: A worker's word cache is emptied at this size and keeps no longer words, so its memory is bounded.
+CACHE_WORDS = 100_000
+LONGEST_CACHED = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,17 +72,32 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to CACHE_WORDS."""
+def each(column: pa.Array) -> Iterator:
+    """A batch's values one after the other, so that a worker holds no second copy of all of them."""
+    return (value.as_py() for value in column)
+
+
+class WordCache(dict):
+    """word -> number, by value(); words over LONGEST_CACHED bytes are not kept, and it is emptied at CACHE_WORDS."""
+
+    def value(self, word: bytes) -> int:
+        raise NotImplementedError
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
+        number = self.value(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = number
+        return number
+
+
+class WordHashes(WordCache):
+    """64-bit hashes of words."""
+
+    value = staticmethod(xxhash.xxh3_64_intdigest)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -10,14 +10,17 @@
 5. Buckets in which nodes besides the smallest lie in different components still hold untried pairs. While
    such a bucket has more than SMALL nodes and rounds make PROGRESS, steps 2 to 4 are repeated without the smallest nodes, which
    have been tried with all; one group of near copies is one component after a few rounds.
-6. In what is left, nodes of different components meet in blocks of at most BLOCK nodes a side, where pairs are
-   compared by signature and full sets; only links leave the blocks, and the components are taken again.
+6. In what is left, nodes of different components meet in blocks of at most BLOCK nodes and about BLOCK_BYTES of sets a
+   side. Blocks compare signatures first; only nodes of pairs that agree there get their full sets, once for
+   each block. In a block, pairs that links already connect are not compared. Only links leave the blocks, and the components
+   are taken again.
 
 A pair of similarity 0.75 shares a band with probability 1 - (1 - 0.75**5)**40 > 0.99998 and passes
 the signature check with probability > 0.99999; higher similarities do better.
 
 Scale: narrow shuffles (band, node, size); hot buckets are split by skew joins in step 2 and by
-blocks in step 6; full sets travel only for nodes in surviving pairs. Nothing is collected.
+blocks in step 6; full sets travel only for nodes in surviving pairs. Batches and blocks are bounded by
+bytes, so workers hold little. Nothing is collected.
 
 Defined results: a null or empty text, or one without words, has an empty set and stays alone; fewer than five
 words make one shingle of the whole sequence; rows that repeat a doc_id and text are copies; rows with a null doc_id take
@@ -34,16 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, durable, packed, shingles, unpacked, words_of
+from larkspur.llm.common import WordHashes, durable, each, packed, shingles, unpacked, words_of
+from larkspur.llm.linking import Forest, blocked, linked_in_cells, shared_cells
 
 WIDTH = 5
 ROWS, BANDS = 5, 40
 SIGNATURE_LEAST = 0.6
 BLOCK = 1024
-#: Buckets are paired by their smallest nodes, one after the other, until untried nodes of mixed ones are so few.
-SMALL = 2048
-#: ... or until a round leaves more than this share of the untried pairs.
-PROGRESS = 0.7
+#: Full sets of a block's side, about.
+BLOCK_BYTES = 8_000_000
 #: Percent of the union that the intersection must reach.
 LEAST_PERCENT = 75
 
@@ -90,7 +92,7 @@ def hashed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             seen: dict[int, int] = {}
             node, size, bands, sigs = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 words = words_of(text)
                 key = content_key(words) if words else None
                 new = words and key not in seen
@@ -130,7 +132,7 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             node, sets = [], []
-            for want, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+            for want, text in zip(batch.column("node").to_pylist(), each(batch.column("text"))):
                 words = words_of(text)
                 if words and content_key(words) == want:  # not if a repeated id has another text
                     node.append(want)
@@ -147,116 +149,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sides = zip(*([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")))
-            links = [linked(x, y) for x, y in sides]
+            links = [linked(*(np.frombuffer(x, "<u8") for x in sides)) for sides in zip(each(batch.column("set_a")), each(batch.column("set_b")))]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(links, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) for all nodes with a link."""
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        # large star: greater neighbours move to the smallest of the neighbourhood
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: smaller neighbours and the node itself move to the smallest
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(low, "u")
-        edges = durable(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots))
-
-
-def _untried(band: DataFrame, comps: DataFrame) -> DataFrame:
-    """(band, node, comp, m) where pairs of different components are untried: without each bucket's smallest node, whose pairs have all been tried."""
-    labelled = band.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    low = labelled.groupBy("band").agg(F.min("node").alias("low"))
-    rest = durable(labelled.join(low, "band").where("node <> low").drop("low"))
-    mixed = rest.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    return durable(rest.join(mixed.select("band", "m"), "band"))
-
-
-def _stars(band: DataFrame) -> DataFrame:
-    """(a, b): each bucket's smallest node with those of other components."""
-    low = band.groupBy("band").agg(F.min(F.struct("node", "comp")).alias("low"))
-    pairs = band.join(low, "band").where((F.col("node") != F.col("low.node")) & (F.col("comp") != F.col("low.comp")))
-    return pairs.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _across(rest: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different components in what _untried() has left. Nodes of a bucket meet in blocks; a pair is
-    looked at in the first band it shares, by signature, then by full sets."""
-    rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp")
-    pairs = pairs.join(signed.select("node", "n_shingles", "sig").join(sets, "node"), "node")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+def _across(rest: DataFrame, signed: DataFrame, sets_of) -> DataFrame:
+    """Links (a, b) that connect what is linked in cells (cell, node, comp, m). Nodes of a bucket meet in blocks; a pair is
+    looked at in the first band it shares, by signature, then by full sets. sets_of(nodes) gives (node, shingle_set)."""
+    rest = rest.join(signed.select("node", "n_shingles", "sig"), "node").withColumn("bytes", F.col("n_shingles") * 8)
+    rest = blocked(rest, "bytes", BLOCK, BLOCK_BYTES).select("cell", "i", "j", "mine", "node", "comp", "n_shingles", "sig")
+
+    def alike(part: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(part["sig"]), "<u4").reshape(len(part), -1)
-        full = [np.frombuffer(x, "<u8") for x in part["shingle_set"]]
         node, comp, size, mine = (part[c].to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
-        i, j, here = part["i"].iloc[0], part["j"].iloc[0], int((band_keys(sig[0]) == part["band"].iloc[0]).argmax())
+        i, j, cell = part["i"].iloc[0], part["j"].iloc[0], part["cell"].iloc[0]
+        here = int((band_keys(sig[0]) == cell).argmax())
         found = []
         for x in np.flatnonzero(mine == i):
             ok = (comp != comp[x]) & (node > node[x] if i == j else mine == j) & (size * 100 >= size[x] * LEAST_PERCENT) & (size[x] * 100 >= size * LEAST_PERCENT)
             ys = np.flatnonzero(ok)
             same = sig[ys] == sig[x]
-            first = same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1)
-            for y in ys[(same.mean(1) >= SIGNATURE_LEAST) & (first == here)]:
-                if linked(full[x], full[y]):
-                    found.append((min(node[x], node[y]), max(node[x], node[y])))
-        return pd.DataFrame(found, columns=["a", "b"])
+            share, first = same.mean(1), same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1)
+            near = (share >= SIGNATURE_LEAST) & (first == here)
+            if near.any():
+                found.append((node[x], node[ys[near]].tobytes(), share[near].astype("<f4").tobytes()))
+        return pd.DataFrame(found, columns=["a", "bs", "agree"]).assign(cell=cell, i=i, j=j)
+
+    near = durable(rest.groupBy("cell", "i", "j").applyInPandas(alike, "a long, bs binary, agree binary, cell long, i int, j int"))
+
+    def nodes(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                both = np.append(np.frombuffer(batch.column("bs")[k].as_py(), "<i8"), batch.column("a")[k].as_py())
+                cell = [pa.array(np.full(len(both), batch.column(c)[k].as_py()), t) for c, t in (("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cell, pa.array(both)], ["cell", "i", "j", "node"])
+
+    asked = durable(near.mapInArrow(nodes, "cell long, i int, j int, node long").distinct())
+    full = asked.join(sets_of(asked.select("node").distinct()), "node")
 
-    return pairs.groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
+    def confirmed(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        have = {n: np.frombuffer(x, "<u8") for n, x in zip(sets["node"], sets["shingle_set"])}
+        a = np.repeat(pairs["a"].to_numpy("i8"), [len(x) // 8 for x in pairs["bs"]])
+        b, agree = np.frombuffer(b"".join(pairs["bs"]), "<i8"), np.frombuffer(b"".join(pairs["agree"]), "<f4")
+        forest, found = Forest(), []
+        for k in np.lexsort((b, a, -agree)):  # the likeliest links first, so that the others are mostly connected by then
+            x, y = int(a[k]), int(b[k])
+            if x in have and y in have and forest.top(x) != forest.top(y) and linked(have[x], have[y]):
+                forest.join(x, y)
+                found.append((min(x, y), max(x, y)))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("i8")
+
+    return near.groupBy("cell", "i", "j").cogroup(full.groupBy("cell", "i", "j")).applyInPandas(confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = durable(hashed(docs))
     signed = durable(rows.where("sig is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    band = durable(_buckets(signed).withColumn("comp", F.col("node")))
-    comps = None
-
-    def merged(links: DataFrame) -> DataFrame:
-        """Components after more links."""
-        return components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    bands = shared_cells(signed.select(F.explode("bands").alias("cell"), "node"))
 
-    before = None
-    while True:
-        near = durable(_agreeing(_stars(band), signed))
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = durable(_agreeing(pairs, signed))
         sets = durable(_sets(docs, rows, near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        comps = merged(_confirmed(near, sets))
-        band = _untried(band.select("band", "node"), comps)
-        # pairs that are still untried, at most
-        largest, left = band.select("band", "m").distinct().agg(F.max("m"), F.sum(F.col("m") * F.col("m"))).first()
-        if largest is None:
-            break
-        if largest <= SMALL or before is not None and left > before * PROGRESS:
-            comps = merged(_across(band, signed, _sets(docs, rows, band.select("node").distinct())))
-            break
-        before = left
+        return _confirmed(near, sets)
+
+    comps = linked_in_cells(bands, confirm, lambda rest: _across(rest, signed, lambda nodes: _sets(docs, rows, nodes)))
     found = rows.select("doc_id", "node", "n_shingles").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = found.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = found.join(lowest, "comp", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """(band, node) of bands that more than one node has."""
-    every = signed.select(F.explode("bands").alias("band"), "node")
-    shared = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    return every.join(shared, "band")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that near_duplicates() keeps; of rows alike in doc_id and text one."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()

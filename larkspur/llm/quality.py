@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import CACHE_WORDS, crc_mod, durable
+from larkspur.llm.common import WordCache, crc_mod, durable, each
 
 HASHED_WORDS = 16_384
 DIMS = 64
@@ -38,6 +38,8 @@ HIDDEN = 32
 MAX_LABELLED = 20_000
 HELD_OUT_MOD, HELD_OUT_IS = 3, 1
 SLICES, LANES = 64, 512
+#: Words whose contexts are added at once.
+BLOCK_WORDS = 40_000
 _TOKENS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").findall
 
 
@@ -50,16 +52,14 @@ def index_vectors() -> np.ndarray:
     return table
 
 
-class WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) % HASHED_WORDS
-        self[word] = value
-        return value
+class WordIds(WordCache):
+    """Rows of words in the table of vectors."""
+
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) % HASHED_WORDS
 
     def of(self, text: str | None) -> np.ndarray:
         words = _TOKENS(text.encode("utf-8", "surrogatepass")) if text else []
-        if len(self) > CACHE_WORDS:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
 
 
@@ -84,10 +84,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         total, gap = np.zeros((HASHED_WORDS + 1, DIMS + 1), np.int64), np.full(WINDOW, HASHED_WORDS, np.uint16)
         block, size = [gap], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each(batch.column(0)):
                 block += [ids.of(text), gap]
                 size += len(block[-2])
-                if size > 200_000:
+                if size > BLOCK_WORDS:
                     _add_contexts(total, np.concatenate(block), index)
                     block, size = [gap], 0
         if size:
@@ -112,10 +112,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return np.vstack([table, np.zeros((1, DIMS))]).astype(np.float32)
 
 
-def pooled(texts: list[str | None], ids: WordIds, vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: pa.Array, ids: WordIds, vectors: np.ndarray) -> np.ndarray:
     """Features of texts: mean and standard deviation of the word vectors."""
     out = np.zeros((len(texts), 2 * DIMS))
-    for i, text in enumerate(texts):
+    for i, text in enumerate(each(texts)):
         words = ids.of(text)
         if len(words):
             kinds, counts = np.unique(words, return_counts=True)
@@ -175,7 +175,7 @@ class Model:
     def __init__(self, vectors: np.ndarray, network: Network):
         self.vectors, self.network = vectors, network
 
-    def score(self, texts: list[str | None], ids: WordIds) -> np.ndarray:
+    def score(self, texts: pa.Array, ids: WordIds) -> np.ndarray:
         return self.network.score(pooled(texts, ids, self.vectors))
 
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            x = pooled(batch.column("text").to_pylist(), ids, shared.value).astype("<f4")
+            x = pooled(batch.column("text"), ids, shared.value).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "features"])
 
     # at most max_labelled ids, whatever the tables' size
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            found = shared.value.score(batch.column("text").to_pylist(), ids)
+            found = shared.value.score(batch.column("text"), ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -221,6 +221,6 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist(), ids) >= least))
+            yield batch.filter(pa.array(shared.value.score(batch.column("text"), ids) >= least))
 
     return docs.mapInArrow(run, docs.schema)
