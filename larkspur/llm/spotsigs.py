@@ -6,14 +6,20 @@ one signature of all its words. Likeness is the Jaccard coefficient; sets whose
 below a bound are not compared.
 
 compare_neighbours() walks the documents in descending order of doc_id: id ranges (by approximate
-percentiles) are sorted in their tasks, and the first rows of a range also go to the range above it,
-whose last document needs them. So each text is sent once, and tasks stream.
+percentiles) are sorted in their tasks, and the last rows of a range also go to the range below it,
+whose first document they need. So each text is sent once, and tasks stream.
 
-near_pairs() finds pairs of fingerprints of a bounded likeness: fingerprints are dealt to partitions of set
-length, in which a set meets those that share a signature of its prefix.
+classes() groups documents whose fingerprints have a likeness of LEAST or more, also through others: distinct
+fingerprints are dealt to partitions of set length, whose bounds are powers of 1 / LEAST, and to the next shorter one. In a
+partition, sets meet in the cells of the signatures of their prefix, rarest first (by counts of SLOTS hash slots, a table of
+fixed size), so signatures that many documents share hardly make cells. Where sets meet, sizes rule pairs out before they are
+compared; pairs that links already connect are not compared.
+
+Scale: a range has about RANGE_CHARS of text up to MOST_RANGES ranges, 260 GB of text; beyond, a task's range grows
+(3 GB at 100 TB) and its sort spills.
 
 Defined results: a null text counts as empty; the empty text and a text without words have an empty set; two
-empty sets have likeness 1, an empty and another 0; equal ids are in order of text; null ids come last; a
+empty sets have likeness 1, an empty and another 0; empty sets are in no class but their own; equal ids are in order of text; null ids come last; a
 single document is its own next; an empty table gives no rows.
 """
 
@@ -25,12 +31,14 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import CACHE_WORDS, durable, mix64
+from larkspur.llm.common import WordCache, durable, each, mix64
+from larkspur.llm.linking import Forest, blocked, linked_in_cells, shared_cells
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -42,24 +50,26 @@ ANCHORS = frozenset(
 CHAIN = 2
 RANGE_CHARS = 8_000_000
 #: Ranges get larger beyond so many; their bounds are part of the plan.
-MOST_RANGES = 4096
+MOST_RANGES = 32_768
+#: Fingerprints of this likeness are of one class.
+LEAST = 0.75
+#: Counters by which signatures are ordered.
+SLOTS = 16_384
+#: Fingerprints of a block's side, at most, and their bytes, about.
+BLOCK, BLOCK_BYTES = 1024, 8_000_000
 _TOKENS = re.compile(rb"[a-z0-9_\x80-\xff]+").findall
 
 
-class Words(dict):
+class Words(WordCache):
     """Token -> 64-bit hash whose lowest bit marks an anchor."""
 
     anchors = frozenset(w.encode() for w in ANCHORS)
 
-    def __missing__(self, token: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(token) & ~1 | (token in self.anchors)
-        self[token] = value
-        return value
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) & ~1 | (word in self.anchors)
 
     def fingerprint(self, text: str) -> np.ndarray:
         """Sorted distinct signatures."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
         tokens = _TOKENS(text.encode("utf-8", "surrogatepass").lower())
         h = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
         anchor = (h & np.uint64(1)).astype(bool)
@@ -98,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         words = Words()
         for batch in batches:
-            found = [words.fingerprint(t or "").astype("i8") for t in batch.column("text").to_pylist()]
+            found = [words.fingerprint(t or "").astype("i8") for t in each(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint array<long>")
@@ -119,62 +129,137 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprints and likenesses of each text, its edited text and the next document's."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, chars = docs.agg(F.min("doc_id"), F.sum(F.length("text"))).first()
+    low, high, chars = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
     ranges = min(MOST_RANGES, max(1, math.ceil((chars or 0) / RANGE_CHARS)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0] if ranges > 1 else None
     bounds = sorted({b for b in bounds or [] if b > low})
     placed = docs.withColumn("range", _range_of(F.col("doc_id"), bounds))
-    heads = dict(placed.groupBy("range").agg(F.max("doc_id")).collect())  # one row for each range
-    top = max(heads, default=0)
-    if heads:
-        head = F.element_at(F.array(*[F.lit(heads.get(i)).cast("long") for i in range(top + 1)]), F.col("range") + 1)
-        above = F.when(F.col("range") == top, 0).otherwise(F.col("range") + 1)
-        here, there = F.struct("range", F.lit(0).alias("tail")), F.struct(above.alias("range"), F.lit(1).alias("tail"))
-        placed = placed.withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(head), F.array(here, there)).otherwise(F.array(here))))
-        placed = placed.select("doc_id", "text", "to.range", "to.tail")
-    else:
-        placed = placed.withColumn("tail", F.lit(0))
-    placed = placed.repartition(top + 1, "range").sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "text")
+    # a bound is the id that ends its range: it also goes to the range below, before that one's own; the first document of all ends the last range
+    own, carried, first = (F.struct(r.cast("int").alias("range"), F.lit(part).alias("part")) for r, part in ((F.col("range"), 1), (F.col("range") - 1, 0), (F.lit(0), 2)))
+    lowest = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.greatest(F.col("range"), F.lit(1))) if bounds else F.lit(None).cast("long")
+    places = F.array(own, F.when((F.col("range") > 0) & (F.col("doc_id") == lowest), carried), F.when(F.col("doc_id").eqNullSafe(F.lit(high).cast("long")), first))
+    placed = placed.withColumn("to", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("doc_id", "text", "to.range", "to.part")
+    placed = placed.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "part", F.desc_nulls_last("doc_id"), "text")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        words, waiting = Words(), None
+        words, waiting, here = Words(), None, None
         for batch in batches:
             out = []
-            for range_, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "tail", "doc_id", "text"))):
-                if tail and (waiting is None or waiting[0] != range_):
+            for range_, part, doc_id, text in zip(*(each(batch.column(c)) for c in ("range", "part", "doc_id", "text"))):
+                if range_ != here:  # what still waits is carried to the range below
+                    here, waiting = range_, None
+                if part == 2 and waiting is None:
                     continue
                 own = words.fingerprint(text)
-                if waiting is not None:
-                    _, before_id, before, fp = waiting
+                if part and waiting is not None:
+                    before_id, before, fp = waiting
                     k = len(before) // 3
                     changed = before[: len(before) - k] + text[:k]
                     edited = words.fingerprint(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((before_id, len(before), digest, coded(fp), coded(edited), likeness(fp, edited), likeness(fp, own)))
-                waiting = None if tail else (range_, doc_id, text, own)
+                waiting = None if part == 2 else (doc_id, text, own)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], columns)
 
     return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(found: DataFrame, least: float = 0.75) -> DataFrame:
-    """a, b, likeness of different fingerprints at least so near, each named by its smallest doc_id (see members())."""
-    sets = durable(found.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).withColumn("n", F.size("fingerprint")))
-    # lengths between two powers of 1 / least form a partition; a set looks in its own and the next shorter one
-    part = F.floor(F.log("n") / F.lit(math.log(1 / least)) + 1e-9).cast("int")
-    keyed = sets.withColumn("part", part).withColumn("prefix", F.slice("fingerprint", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
-    keyed = keyed.select("rep", "n", "part", F.explode("prefix").alias("spot"))
-    longer = keyed.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "spot", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    pairs = keyed.join(longer, ["part", "spot"]).where((F.col("n") < F.col("n_a")) | (F.col("n") == F.col("n_a")) & (F.col("rep") < F.col("a"))).where(F.col("n") >= F.col("n_a") * least)
-    pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
-    for c in "ab":
-        pairs = pairs.join(sets.select(F.col("rep").alias(c), F.col("fingerprint").alias(f"f_{c}")), c)
-    shared = F.size(F.array_intersect("f_a", "f_b"))
-    return pairs.withColumn("likeness", shared / (F.size("f_a") + F.size("f_b") - shared)).where(F.col("likeness") >= least).select("a", "b", "likeness")
-
-
-def members(found: DataFrame) -> DataFrame:
-    """doc_id and rep, the smallest doc_id of its fingerprint."""
-    return found.select("doc_id", F.min("doc_id").over(Window.partitionBy("fingerprint")).alias("rep"))
+def _slot(spots: np.ndarray) -> np.ndarray:
+    return (spots % np.uint32(SLOTS)).astype(np.int64)
+
+
+def _cells(sets: DataFrame, least: float) -> DataFrame:
+    """(cell, node): the signatures of each set's prefix, in the partition of its length and in the next shorter one."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for data in each(batch.column("spots")):
+                total += np.bincount(_slot(np.frombuffer(data, "<u4")), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    # at most SLOTS rows
+    counts = sets.select("spots").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(SLOTS, np.int64)
+    for row in counts:
+        often[row.slot] = row.n
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for batch in batches:
+            node, cell = [], []
+            for n, data in zip(batch.column("node").to_pylist(), each(batch.column("spots"))):
+                spots = np.frombuffer(data, "<u4")
+                order = np.lexsort((spots, shared.value[_slot(spots)]))
+                prefix = spots[order[: len(spots) - math.ceil(len(spots) * least - 1e-9) + 1]].astype(np.uint64)
+                part = int(math.log(len(spots)) / math.log(1 / least) + 1e-9)
+                for p in (part, part - 1):
+                    cell.append(mix64(prefix | np.uint64((p + 1) << 32)))
+                    node.append(np.full(len(prefix), n))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view("i8")), pa.array(np.concatenate(node))], ["cell", "node"])
+
+    return sets.select("node", "spots").mapInArrow(run, "cell long, node long")
+
+
+def classes(found: DataFrame, least: float = LEAST) -> DataFrame:
+    """fingerprint, class_id: the smallest doc_id of all fingerprints that links of at least this likeness connect with it. found: doc_id, fingerprint (coded, not empty)."""
+    sets = found.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).select("fingerprint", "rep", F.unbase64("fingerprint").alias("spots"), F.monotonically_increasing_id().alias("node"))
+    sets = durable(sets)
+    sized = sets.select("node", (F.octet_length("spots") / 4).cast("int").alias("n"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(sized.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")), c)
+        pairs = pairs.where((F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)).select("a", "b")
+        for c in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("spots").alias(f"spots_{c}")), c)
+
+        def run(batches):
+            for batch in batches:
+                near = [likeness(*(np.frombuffer(x, "<u4") for x in both), least) >= least for both in zip(each(batch.column("spots_a")), each(batch.column("spots_b")))]
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+        return pairs.select("a", "b", "spots_a", "spots_b").mapInArrow(run, "a long, b long")
+
+    def across(rest: DataFrame) -> DataFrame:
+        rest = rest.join(sets.select("node", "spots"), "node").withColumn("bytes", F.octet_length("spots").cast("long"))
+        rest = blocked(rest, "bytes", BLOCK, BLOCK_BYTES).select("cell", "i", "j", "mine", "node", "comp", "spots")
+
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            node, comp, mine = (part[c].to_numpy() for c in ("node", "comp", "mine"))
+            i, j = part["i"].iloc[0], part["j"].iloc[0]
+            sets_ = [np.frombuffer(x, "<u4") for x in part["spots"]]
+            size = np.array([len(x) for x in sets_])
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            values, place = np.unique(np.concatenate(sets_), return_inverse=True)
+            mark, forest, links = np.zeros(len(values), bool), Forest(), []
+            for x in np.flatnonzero(mine == i):
+                mine_ = place[starts[x] : starts[x] + size[x]]
+                mark[mine_] = True
+                both = np.add.reduceat(mark[place], starts, dtype=np.int64)
+                mark[mine_] = False
+                near = (comp != comp[x]) & (node > node[x] if i == j else mine == j) & (both >= least * (size + size[x] - both) - 1e-9)
+                for y in np.flatnonzero(near):
+                    a, b = int(node[x]), int(node[y])
+                    if forest.top(a) != forest.top(b):
+                        forest.join(a, b)
+                        links.append((min(a, b), max(a, b)))
+            return pd.DataFrame(links, columns=["a", "b"]).astype("i8")
+
+        return rest.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long")
+
+    comps = linked_in_cells(shared_cells(_cells(sets, least)), confirm, across)
+    grouped = sets.join(comps, "node", "left").select("fingerprint", "rep", F.coalesce("comp", "node").alias("comp"))
+    lowest = grouped.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    return grouped.join(lowest, "comp").select("fingerprint", "class_id")
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """compare_neighbours() with class_id: the smallest doc_id of the document's class (its own if its set is empty)."""
+    rows = durable(compare_neighbours(docs))
+    known = classes(rows.where("fingerprint <> ''").select("doc_id", "fingerprint")).withColumnRenamed("fingerprint", "_f")
+    return rows.join(known, F.col("fingerprint") == F.col("_f"), "left").select(*rows.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
