@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import minhash, sharding, spotsigs
+from larkspur.llm import linking, minhash, sharding, spotsigs
 
 
 def sets_of(text):
@@ -63,7 +64,7 @@ def test_minhash(docs_of, crowd):
 
 def test_minhash_rounds(docs_of, crowd, monkeypatch):
     """Repeated stars and many small blocks give the same."""
-    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(linking, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(crowd)).collect()}
     assert got == components(crowd)[0]
@@ -110,12 +111,70 @@ def test_spotsigs_ranges(docs_of, monkeypatch):
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()
 
 
-def test_spot_pairs(docs_of):
-    texts = ["the alpha beta of gamma delta the epsilon zeta in eta theta is iota kappa", "the alpha beta of gamma delta the epsilon zeta in eta theta is iota other", "of quite another thing the whole way to nothing like it"]
-    found = spotsigs.fingerprints(docs_of([(i, t, "a") for i, t in enumerate(texts + texts[:1])]))
-    pairs = spotsigs.near_pairs(found, 0.5).collect()
-    assert [sorted((r.a, r.b)) for r in pairs] == [[0, 1]]
-    assert {r.doc_id: r.rep for r in spotsigs.members(found).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+def spot_sets(texts):
+    """Signatures by a plain walk: an anchor and the two content words after it; all words if there are none."""
+    out = []
+    for text in texts:
+        words = re.findall(rb"[a-z0-9_\x80-\xff]+", text.encode().lower())
+        content = [(i, w) for i, w in enumerate(words) if w.decode("utf-8", "replace") not in spotsigs.ANCHORS]
+        found = set()
+        for i, w in enumerate(words):
+            after = [c for j, c in content if j > i][:2]
+            if w.decode("utf-8", "replace") in spotsigs.ANCHORS and len(after) == 2:
+                found.add((w, *after))
+        out.append(found or ({tuple(words)} if words else set()))
+    return out
+
+
+def plain_classes(ids, sets, least=0.75):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("small, block", [(2048, 1024), (2, 8)])
+def test_spot_classes(docs_of, monkeypatch, small, block):
+    """Likenesses and classes against plain sets: near copies, copies, chains of them, one passage in many texts, short texts."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    rng = random.Random(9)
+    word = lambda: rng.choice(["the", "of", "der", "la", f"w{rng.randrange(900)}", f"v{rng.randrange(900)}", f"u{rng.randrange(900)}"])
+    base, passage = [word() for _ in range(200)], [word() for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        text = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            text[rng.randrange(200)] = word()
+        texts.append(" ".join(text))
+    texts += texts[:5] + [" ".join(base[:k]) for k in range(20, 200, 6)] + [" ".join([*passage, *(word() for _ in range(rng.randrange(60)))]) for _ in range(40)]
+    texts += [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["", "the", "of the", "lone words only", "lone words only"]
+    ids = rng.sample(range(1000), len(texts))
+    sets = spot_sets(texts)
+    got = {r.doc_id: r for r in spotsigs.compared(docs_of([(i, t, "a") for i, t in zip(ids, texts)])).collect()}
+    assert {i: r.class_id for i, r in got.items()} == plain_classes(ids, sets)
+    order = sorted(range(len(ids)), key=lambda k: -ids[k])
+    for at, k in enumerate(order):
+        after = order[(at + 1) % len(order)]
+        cut = len(texts[k]) // 3
+        edited = spot_sets([texts[k][: len(texts[k]) - cut] + texts[after][:cut]])[0]
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert got[ids[k]].near_next == like(sets[k], sets[after]) and got[ids[k]].near_edited == like(sets[k], edited)
+
+
+def test_spot_classes_odd(docs_of, odd):
+    got = sorted(((r.doc_id, r.class_id) for r in spotsigs.compared(docs_of(odd)).collect()), key=repr)
+    assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, 4), (None, None), (5, 5), (6, 5), (7, 7), (8, 8)], key=repr)
+    assert spotsigs.compared(docs_of([])).count() == 0
 
 
 def test_sharding(docs_of, odd):
@@ -147,12 +206,21 @@ def test_sharding_many_rows(spark):
     assert cut.count() == 0
 
 
-def test_native():
-    """The kinds that must stay in the JVM build no Python plan."""
-    import inspect
+def test_native(docs_of, odd):
+    """The kinds that must stay in the JVM run no Python: neither in what they return nor in the tables they write on the way."""
+    from larkspur.llm import common, pii
+
+    def plans(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    seen, write = [], common.durable
 
-    from larkspur.llm import pii
+    def noted(df):
+        seen.append(plans(df))
+        return write(df)
 
-    for module in (pii, sharding):
-        source = inspect.getsource(module)
-        assert not any(w in source for w in ("applyInPandas", "mapInPandas", "mapInArrow", "udf", ".rdd"))
+    for module, run in ((pii, pii.redact), (sharding, sharding.shard_documents)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "durable", noted)
+            seen.append(plans(run(docs_of(odd))))
+    assert len(seen) > 10 and not any(re.search(r"Python|Pandas|Arrow|ExternalRDD|MapPartitions", p) for p in seen)
