@@ -89,3 +89,27 @@ def in_order_within(found: Column, words: list[str], slop: int) -> Column:
 
 def _after(word: str, at: Column):
     return lambda x: (x["t"] == word) & (x["i"] > at)
+
+
+def fnv1a(data: bytes) -> int:
+    """FNV-1a, 64 bits."""
+    value = 0xCBF29CE484222325
+    for byte in data:
+        value = (value ^ byte) * 0x100000001B3 % 2**64
+    return value
+
+
+def from_filetime(ticks: Column) -> Column:
+    """Nanoseconds since 1970 of a count of 100 ns since 1601; 0 is no time."""
+    return F.when(ticks != 0, (ticks - 116_444_736_000_000_000) * 100)
+
+
+def utc_day(ns: Column) -> Column:
+    """The start of a time's day."""
+    return ns - F.pmod(ns, F.lit(86_400 * 10**9))
+
+
+def rfc3339_text(ns: Column) -> Column:
+    """A time as text in UTC with nine digits of a second."""
+    seconds, rest = F.floor(ns / 10**9).cast("long"), F.pmod(ns, F.lit(10**9))
+    return F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"), F.lit("Z"))

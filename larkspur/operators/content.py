@@ -75,13 +75,22 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     matching = tf.where(reduce(and_, [F.col(f"tf_{i}") > 0 for i in range(len(words))], F.lit(bool(words))))
     # the statistics are one row
     scored = matching.withColumn("_k", F.lit(0)).join(F.broadcast(stats.withColumn("_k", F.lit(0))), "_k")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean_length"))
+    return scored.select("object_id", "ordinal", _bm25_score([F.col(f"df_{i}") for i in range(len(words))], F.col("n_chunks"), F.col("mean_length")).alias("score"))
 
-    def part(i: int) -> Column:
-        idf = F.log(1 + (F.col("n_chunks") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        return idf * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
 
-    return scored.select("object_id", "ordinal", reduce(lambda a, b: a + b, [part(i) for i in range(len(words))], F.lit(0.0)).alias("score"))
+def _bm25_score(often: list[Column], n_chunks: Column, mean_length: Column) -> Column:
+    """The score of columns tf_0, tf_1, ... and length."""
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean_length)
+
+    def part(i: int, df: Column) -> Column:
+        return F.log(1 + (n_chunks - df + 0.5) / (df + 0.5)) * F.col(f"tf_{i}") * (K1 + 1) / (F.col(f"tf_{i}") + norm)
+
+    return reduce(lambda a, b: a + b, [part(i, df) for i, df in enumerate(often)], F.lit(0.0))
+
+
+def bm25_score(words: list[str], often: dict[str, int], n_chunks: int, mean_length: float) -> Column:
+    """The same with statistics that are known: how many chunks hold each word, chunks in all, their mean length."""
+    return _bm25_score([F.lit(often.get(w, 0)) for w in words], F.lit(n_chunks), F.lit(mean_length))
 
 
 def _is(word: str):
@@ -114,6 +123,50 @@ def snippets(chunks: DataFrame, word: str) -> DataFrame:
     return hits.select("object_id", "ordinal", line.alias("line"), F.substring(whole, begin + 1, F.lit(SNIPPET_CHARS)).alias("snippet"), (column - begin).alias("start"), (column - begin + len(word)).alias("stop"))
 
 
+def highlighted(chunks: DataFrame, clauses: list[q.Text], most: int = 32) -> DataFrame:
+    """object_id, ordinal, line (from 0), snippet and highlights (start, stop in characters) of any content clauses: the line of the first match in the
+    SNIPPETS best chunks of each object, with up to `most` matches of each clause. Chunks are few by then, so they are looked through in Python."""
+    import pandas as pd
+    import regex
+
+    def pattern(c: q.Text):
+        flags = regex.UNICODE if c.case else regex.UNICODE | regex.IGNORECASE
+        if c.mode == "regex":
+            return regex.compile(c.value, flags | regex.MULTILINE)
+        words = query_tokens(c.value)
+        if c.mode in ("ranked", "proximity"):
+            return regex.compile("|".join(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(w)}(?![\p{{L}}\p{{N}}])" for w in words) or r"(?!)", flags | regex.IGNORECASE)
+        if c.mode == "phrase":
+            return regex.compile(rf"(?<![\p{{L}}\p{{N}}]){r'[^\p{L}\p{N}]+'.join(map(regex.escape, words))}(?![\p{{L}}\p{{N}}])" if words else r"(?!)", flags | regex.IGNORECASE)
+        edge = c.mode == "exact"
+        return regex.compile((r"(?<![\p{L}\p{N}])" if edge else "") + regex.escape(c.value) + (r"(?![\p{L}\p{N}])" if edge else ""), flags)
+
+    patterns = [pattern(c) for c in clauses]
+    hit = reduce(or_, [chunk_predicate(c) for c in clauses], F.lit(False))
+    score = reduce(lambda x, y: x + y, [chunk_predicate(c).cast("int") for c in clauses], F.lit(0))
+    best = Window.partitionBy("object_id").orderBy(F.desc("_score"), "ordinal")
+    rows = chunks.where(hit).withColumn("_score", score).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= SNIPPETS)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for object_id, ordinal, text in zip(b["object_id"], b["ordinal"], b["text"]):
+                spans = sorted({m.span() for p in patterns for _, m in zip(range(most), p.finditer(text)) if m.end() > m.start()})
+                if not spans:
+                    continue
+                first = spans[0][0]
+                start = text.rfind("\n", 0, first) + 1
+                stop = text.find("\n", first)
+                stop = len(text) if stop < 0 else stop
+                begin = max(start, first - SNIPPET_CHARS // 3)
+                end = min(stop, begin + SNIPPET_CHARS)
+                marks = [(max(x, begin) - begin, min(y, end) - begin) for x, y in spans if x < end and y > begin]
+                out.append((object_id, ordinal, text.count("\n", 0, first), text[begin:end], [{"start": x, "stop": y} for x, y in marks]))
+            yield pd.DataFrame(out, columns=["object_id", "ordinal", "line", "snippet", "highlights"])
+
+    return rows.select("object_id", "ordinal", "text").mapInPandas(run, "object_id long, ordinal int, line int, snippet string, highlights array<struct<start:int,stop:int>>")
+
+
 def sanitized(text: Column) -> Column:
     """Control characters (but tab and line ends) and bidirectional marks become U+FFFD."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200E\u200F\u202A-\u202E\u2066-\u2069]", "\uFFFD")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +15,44 @@ def matched(listing: DataFrame, objects: DataFrame) -> DataFrame:
     native = objects.select("native_id", F.col("object_id").alias("by_native"))
     place = objects.select("parent_id", "name", F.col("object_id").alias("by_place"))
     found = listing.join(native, "native_id", "left").join(place, ["parent_id", "name"], "left")
-    return found.withColumn("object_id", F.coalesce("by_native", "by_place")).drop("by_native", "by_place")
+    found = found.withColumn("object_id", F.coalesce("by_native", "by_place")).drop("by_native", "by_place")
+    if "kind" not in objects.columns or "kind" not in listing.columns:
+        return found
+    # an id that now names another kind of thing is a new object; the old one is retired
+    kinds = objects.select("object_id", F.col("kind").alias("_kind"))
+    found = found.join(kinds, "object_id", "left")
+    other = F.col("_kind").isNotNull() & (F.col("_kind") != F.col("kind"))
+    return found.withColumns({"retires": F.when(other, F.col("object_id")), "object_id": F.when(~F.coalesce(other, F.lit(False)), F.col("object_id"))}).drop("_kind")
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """object_id, generation, row_changed: a file's generation rises if its size or time changed; other columns change just the row."""
-    o = old.select("object_id", "generation", F.col("size").alias("_s"), F.col("modified").alias("_m"), F.col("attributes").alias("_a"))
-    j = new.join(o, "object_id", "left")
-    content = (F.col("kind") == "file") & ~(F.col("size").eqNullSafe(F.col("_s")) & F.col("modified").eqNullSafe(F.col("_m")))
+    """object_id, generation, row_changed: a file's generation rises if its size, its time or the decision about it (`becomes`, a content state, if
+    new has it) changed; other columns, but for the time of access, change just the row."""
+    shipped = [c for c in ("size", "allocated", "attributes", "created", "modified", "changed", "reparse_tag") if c in old.columns and c in new.columns]
+    o = old.select("object_id", "generation", *(F.col(c).alias(f"_{c}") for c in shipped), *([F.col("content_state").alias("_state")] if "becomes" in new.columns else []))
+    j = new.drop("generation").join(o, "object_id", "left")
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    content = differs("size") | differs("modified")
+    if "becomes" in new.columns:
+        content = content | F.coalesce(F.when(F.col("becomes") == "pending", F.col("_state") == "excluded").otherwise(F.col("_state") != F.col("becomes")), F.lit(False))
+    content = (F.col("kind") == "file") & content
     generation = F.when(F.col("generation").isNull(), 1).otherwise(F.col("generation") + content.cast("int"))
-    return j.select("object_id", generation.cast("long").alias("generation"), (content | ~F.col("attributes").eqNullSafe(F.col("_a"))).alias("row_changed"))
+    return j.select("object_id", generation.cast("long").alias("generation"), reduce(or_, [content, *map(differs, shipped)]).alias("row_changed"))
 
 
 def published(previous: DataFrame, seen: DataFrame, listed: DataFrame) -> DataFrame:
     """previous with `live`: an entry dies if it was not seen though its parent was listed, and all below what died die too.
     Entries of directories that could not be listed stay. Ancestor closures make the cascade one join."""
     gone = previous.join(seen.select("entry_id"), "entry_id", "left_anti").join(listed.select(F.col("dir_id").alias("parent_id")), "parent_id", "left_semi")
-    gone = gone.select(F.col("object_id").alias("gone_id")).distinct()
-    above = previous.select("entry_id", F.explode(F.concat("ancestors", F.array("object_id"))).alias("gone_id"))
-    dead = above.join(gone, "gone_id", "left_semi").select("entry_id").distinct().withColumn("_dead", F.lit(True))
-    return previous.join(dead, "entry_id", "left").withColumn("live", F.col("_dead").isNull()).drop("_dead")
+    gone = gone.select(F.col("object_id").alias("gone_id"), F.col("kind").isin("directory", "virtual_directory").alias("_dir")).distinct()
+    # files die by their own id; below directories, which are fewer, what hangs on the parent is enough
+    dirs = previous.where(F.col("kind").isin("directory", "virtual_directory"))
+    above = dirs.select("object_id", F.explode(F.concat("ancestors", F.array("object_id"))).alias("gone_id"))
+    dead_dirs = above.join(gone.where("_dir"), "gone_id", "left_semi").select("object_id").distinct()
+    dead = dead_dirs.unionByName(gone.where("not _dir").select(F.col("gone_id").alias("object_id"))).select(F.col("object_id").alias("_own"), F.lit(True).alias("_dead"))
+    below = dead_dirs.select(F.col("object_id").alias("_parent"), F.lit(True).alias("_orphan"))
+    marked = previous.join(dead, F.col("object_id") == F.col("_own"), "left").join(below, F.col("parent_id") == F.col("_parent"), "left")
+    return marked.withColumn("live", F.col("_dead").isNull() & F.col("_orphan").isNull()).drop("_dead", "_orphan", "_own", "_parent")
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,15 +76,17 @@ def final_state(errors: int, content_enabled: bool, unfinished: int, root_listed
 
 def closure(edges: DataFrame) -> DataFrame:
     """object_id, ancestors (root first) of a forest (object_id, parent_id): a recursive query in SQL, with a guard against cycles."""
-    edges.createOrReplaceTempView("_closure_edges")
-    spark = edges.sparkSession
-    for k, v in (("spark.sql.cteRecursionLevelLimit", "1024"), ("spark.sql.cteRecursionRowLimit", "-1")):
+    # a session of its own, so that the limits of recursion and the view are no one else's
+    name = f"edges_{uuid.uuid4().hex}"
+    spark = edges.sparkSession.newSession()
+    for k, v in (("spark.sql.cteRecursionLevelLimit", "1024"), ("spark.sql.cteRecursionRowLimit", "-1"), ("spark.sql.shuffle.partitions", edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
         spark.conf.set(k, v)
-    return spark.sql("""
+    edges.createOrReplaceGlobalTempView(name)
+    return spark.sql(f"""
         WITH RECURSIVE up(object_id, ancestors) AS (
-            SELECT object_id, CAST(array() AS array<bigint>) FROM _closure_edges WHERE parent_id IS NULL
+            SELECT object_id, CAST(array() AS array<bigint>) FROM global_temp.{name} WHERE parent_id IS NULL
             UNION ALL
-            SELECT e.object_id, concat(u.ancestors, array(u.object_id)) FROM _closure_edges e JOIN up u ON e.parent_id = u.object_id
+            SELECT e.object_id, concat(u.ancestors, array(u.object_id)) FROM global_temp.{name} e JOIN up u ON e.parent_id = u.object_id
             WHERE NOT array_contains(u.ancestors, e.object_id) AND e.object_id <> u.object_id)
         SELECT object_id, ancestors FROM up""")
 
@@ -71,3 +95,40 @@ def orphans(objects: DataFrame) -> DataFrame:
     """Live objects whose parent is missing or dead: a replica's topology is closed if there are none."""
     live = objects.where("deleted_at is null")
     return live.where("parent_id is not null").join(live.select(F.col("object_id").alias("parent_id")), "parent_id", "left_anti")
+
+
+def cyclic(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves (object_id, parent_id) that would put an object below itself: the new parent is the object or one of its descendants, by closure (object_id, ancestors) `edges`."""
+    above = edges.select(F.col("object_id").alias("_p"), "ancestors")
+    j = moves.join(above, F.col("parent_id") == F.col("_p"), "left")
+    return j.where((F.col("parent_id") == F.col("object_id")) | F.array_contains(F.coalesce("ancestors", F.array().cast("array<bigint>")), F.col("object_id"))).select(*moves.columns)
+
+
+def recovered(generations: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """After a crash: open generations are aborted, their sources degraded."""
+    aborted = generations.withColumn("state", F.when(F.col("state") == "open", "aborted").otherwise(F.col("state")))
+    hit = generations.where("state = 'open'").select("source_id").distinct().withColumn("_hit", F.lit(True))
+    return aborted, sources.join(hit, "source_id", "left").withColumn("state", F.when(F.col("_hit"), "degraded").otherwise(F.col("state"))).drop("_hit")
+
+
+def resolved_errors(errors: DataFrame, listed: DataFrame, generation: int) -> DataFrame:
+    """Listing errors of older generations are resolved for directories that were listed now."""
+    seen = listed.select(F.col("dir_id").alias("_dir"), F.lit(True).alias("_seen")).distinct()
+    now = F.col("_seen") & (F.col("generation") < generation) & F.col("resolved_in").isNull()
+    return errors.join(seen, F.col("dir_id") == F.col("_dir"), "left").withColumn("resolved_in", F.when(now, F.lit(generation)).otherwise(F.col("resolved_in"))).drop("_dir", "_seen")
+
+
+def scan(previous: DataFrame, listing: DataFrame, listed: DataFrame, errors: int = 0, content_enabled: bool = True) -> tuple[DataFrame, str]:
+    """One scan from listing to publishing. previous: a generation's live entries. listing: what was seen (entry and object ids as in matched()).
+    listed: directories whose children are known. Entries that were not seen under listed directories die, with all below; others are taken over, new ones
+    come in, changed files get their next generation. Gives the new entries and the state in which they are published."""
+    base = previous if "generation" in previous.columns else previous.withColumn("generation", F.lit(1).cast("long"))
+    kept = published(base, listing, listed).where("live").drop("live")
+    versions = changed(base.select("object_id", "generation", "size", "allocated", "attributes", "created", "modified"), listing)
+    fresh = listing.drop("generation").join(versions.select("object_id", "generation"), "object_id")
+    unseen = kept.join(listing.select("entry_id"), "entry_id", "left_anti")
+    entries = unseen.unionByName(fresh.select(unseen.columns))
+    root_listed = bool(listed.join(entries.where("parent_id is null").select(F.col("object_id").alias("dir_id")), "dir_id", "left_semi").head(1))
+    unfinished = len(entries.where(F.col("content_state").isin("pending", "stale", "failed")).head(1))
+    state = final_state(errors, content_enabled, unfinished, root_listed, bool(previous.head(1)))
+    return entries, state

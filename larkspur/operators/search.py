@@ -6,17 +6,19 @@ import base64
 import hashlib
 import hmac
 import json
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.content import bm25, ranked_objects, with_flags
+from larkspur.functions.text import query_tokens, tokens
+from larkspur.operators.content import bm25, current, ranked_objects, verified_objects, with_flags
 from larkspur.plans import ast as q
 from larkspur.plans.compile import Compiler, content_clauses
 from larkspur.plans.parser import DAY, parse
-from larkspur.plans.render import render
+from larkspur.plans.render import render, rfc3339
 
 MODES = {"files": ("file", "reparse", "virtual_file"), "directories": ("directory", "virtual_directory"), "both": ()}
 SORTS = {"name": "name_folded", "path": "path_folded", "size": "subtree_logical", "subtree_size": "subtree_logical", "allocated": "subtree_allocated", "modified": "newest_modified", "created": "created"}
@@ -38,6 +40,8 @@ class Request:
     retired: tuple = ()
     include_retired: bool = False
     hidden: bool = True
+    cursor: str | None = None
+    generation: int = 0
 
 
 @dataclass
@@ -47,6 +51,7 @@ class Response:
     query: q.Node
     cursor: str | None = None
     facets: dict = field(default_factory=dict)
+    warnings: list = field(default_factory=list)
 
 
 def matches(entries: DataFrame, request: Request, chunks: DataFrame | None = None, compiler: Compiler | None = None) -> tuple[DataFrame, q.Node]:
@@ -55,6 +60,8 @@ def matches(entries: DataFrame, request: Request, chunks: DataFrame | None = Non
     clauses = content_clauses(node)
     if clauses and chunks is None:
         raise q.QueryError("no content is indexed")
+    if clauses and "generation" in entries.columns and "generation" in chunks.columns:
+        chunks = current(chunks, entries.select("object_id", "generation").distinct())
     found = with_flags(entries, chunks, clauses) if clauses else entries
     found = found.where((compiler or Compiler()).predicate(node))
     if MODES[request.mode]:
@@ -72,16 +79,28 @@ def tight(found: DataFrame) -> DataFrame:
     return found.join(above, ["source_id", "object_id"], "left").withColumn("score", F.when(F.col("_holds"), 0.5).otherwise(1.0)).drop("_holds")
 
 
-def scored(found: DataFrame, node: q.Node, chunks: DataFrame | None, mode: str) -> DataFrame:
-    """Relevance: tight directories for has:, BM25 for ranked content, else equal."""
+def name_relevance(node: q.Node) -> Column:
+    """For ranked words of names and paths: 2 for a name that is the word, 1 for a name that has it as a token, a half for the path, each over 1 + a tenth of
+    the number of tokens, so that short names come first."""
+    total = F.lit(0.0)
+    for n in q.walk(node):
+        if isinstance(n, q.Text) and n.mode == "ranked" and n.field in ("name", "path"):
+            names, paths = tokens(F.col("name")), tokens(F.col("path"))
+            for w in query_tokens(n.value):
+                place = F.when(F.col("name_folded") == w, 2.0).when(F.array_contains(names, w), 1.0).when(F.array_contains(paths, w), 0.5).otherwise(0.0)
+                total = total + place / (1 + 0.1 * F.size(names))
+    return total
+
+
+def scored(found: DataFrame, node: q.Node, chunks: DataFrame | None, mode: str, rank: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Relevance: tight directories for has:; else the sum of BM25 of ranked content clauses (by rank(), from an index, if given), of the matching
+    chunks of other content clauses (at most 8 each), and of ranked words in names and paths."""
     if mode == "directories" and any(isinstance(n, q.Has) for n in q.walk(node)):
         return tight(found)
-    ranked = [c for c in content_clauses(node) if c.mode == "ranked"]
-    if not ranked:
-        return found.withColumn("score", F.lit(0.0))
-    parts = [ranked_objects(bm25(chunks, c.value)).withColumnRenamed("score", f"_s{i}") for i, c in enumerate(ranked)]
+    rank = rank or (lambda text: bm25(chunks, text))
+    parts = [(ranked_objects(rank(c.value)) if c.mode == "ranked" else verified_objects(chunks, c)).withColumnRenamed("score", f"_s{i}") for i, c in enumerate(content_clauses(node))]
     out = reduce(lambda a, b: a.join(b, "object_id", "left"), parts, found)
-    return out.withColumn("score", reduce(lambda a, b: a + b, [F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(ranked))])).drop(*(f"_s{i}" for i in range(len(ranked))))
+    return out.withColumn("score", reduce(lambda a, b: a + b, [F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(parts))], name_relevance(node))).drop(*(f"_s{i}" for i in range(len(parts))))
 
 
 def ordering(request: Request) -> list[Column]:
@@ -91,14 +110,20 @@ def ordering(request: Request) -> list[Column]:
     return [key.desc() if request.descending else key.asc(), F.asc("entry_id")]
 
 
-def search(entries: DataFrame, request: Request, chunks: DataFrame | None = None, compiler: Compiler | None = None) -> Response:
-    """A page of hits; the sort and the limit run as one top-k."""
+def search(entries: DataFrame, request: Request, chunks: DataFrame | None = None, compiler: Compiler | None = None, rank: Callable[[str], DataFrame] | None = None) -> Response:
+    """A page of hits; the sort and the limit run as one top-k. A cursor in the request sets its offset; one of an older generation is told in `warnings`."""
+    warnings = []
+    if request.cursor:
+        offset, generation, _ = Cursor.read(request.cursor, request)
+        request = replace(request, offset=offset)
+        if generation != request.generation:
+            warnings.append("the catalog has changed since the page before")
     if not 0 < request.limit <= MOST_ROWS:
         raise q.QueryError(f"limit is 1 to {MOST_ROWS}")
     found, node = matches(entries, request, chunks, compiler)
-    ranked = scored(found, node, chunks, request.mode) if request.sort == "relevance" else found.withColumn("score", F.lit(0.0))
+    ranked = scored(found, node, chunks, request.mode, rank) if request.sort == "relevance" else found.withColumn("score", F.lit(0.0))
     hits = ranked.orderBy(*ordering(request)).offset(request.offset).limit(request.limit)
-    return Response(hits, found, node, Cursor.next(request))
+    return Response(hits, found, node, Cursor.next(request, request.generation), warnings=warnings)
 
 
 def keyset_page(found: DataFrame, request: Request, after: tuple | None) -> DataFrame:
@@ -179,6 +204,45 @@ def facet_ages(found: DataFrame, now: int) -> DataFrame:
     return found.groupBy(_ladder(F.col("newest_modified"), edges, labels).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def facet_page(found: DataFrame, column: str, limit: int = 20) -> tuple[list, bool]:
+    """(value, n) of the most frequent values, and whether there are more."""
+    rows = facet_terms(found, column, limit + 1).collect()  # as long as the page
+    return [(r.value, r.n) for r in rows[:limit]], len(rows) > limit
+
+
+def size_clauses() -> dict[str, str]:
+    """Search texts of the buckets of facet_sizes()."""
+    edges = SIZE_EDGES
+    texts = [f"<{edges[0]}", *(f"{a}..{b - 1}" for a, b in zip(edges, edges[1:])), f">={edges[-1]}"]
+    return {label: f"size:{text}" for label, text in zip(size_labels(), texts)}
+
+
+def age_clauses(now: int) -> dict[str, str]:
+    """Search texts of the buckets of facet_ages()."""
+    today = now - now % DAY
+    edges = [today - d * DAY for d in reversed(AGE_EDGES)]
+    texts = [f"<{rfc3339(edges[0])}", *(f">={rfc3339(a)},<{rfc3339(b)}" for a, b in zip(edges, edges[1:])), f">={rfc3339(edges[-1])}"]
+    labels = ["older", *(f"{d}d" for d in reversed(AGE_EDGES[1:])), "today"]
+    return {label: f"mtime:{text}" for label, text in zip(labels, texts)}
+
+
+def query_shape(text: str) -> str:
+    """The strongest kind of clause: metadata, name, content_ranked, content_regex."""
+    strength = ["metadata", "name", "content_ranked", "content_regex"]
+
+    def of(n: q.Node) -> int:
+        if isinstance(n, q.Text):
+            return (3 if n.mode in ("substring", "regex") else 2) if n.field == "content" else 1
+        return 1 if isinstance(n, q.Path) else 0
+
+    return strength[max((of(n) for n in q.walk(parse(text))), default=0)]
+
+
+def query_hash(text: str) -> str:
+    """128 bits that group queries without keeping their text; white space doesn't matter."""
+    return hashlib.sha256(b"query-v1\0" + " ".join(text.split()).encode()).hexdigest()[:32]
+
+
 def with_clause(text: str, clause: str, exclude: bool = False) -> str:
     """The query with one more clause; a top-level OR is put in parentheses."""
     node = parse(text) if text.strip() else q.All()

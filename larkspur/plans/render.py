@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 
 from larkspur.plans import ast as q
 from larkspur.plans.parser import ATTRIBUTES
@@ -34,10 +35,19 @@ def _text(n: q.Text) -> str:
     return f"{n.field}:{mark}{quoted(n.value)}" + (f"~{n.slop}" if n.mode == "proximity" else "")
 
 
+def rfc3339(ns: int) -> str:
+    """A time in UTC, with as many digits of a second as it needs: none, three or nine."""
+    seconds, rest = divmod(ns, 10**9)
+    text = (datetime(1970, 1, 1) + timedelta(seconds=seconds)).isoformat()
+    return text + ("" if not rest else f".{rest // 10**6:03d}" if rest % 10**6 == 0 else f".{rest:09d}") + "Z"
+
+
 def _time(n: q.Time) -> str:
     if n.after is None and n.before is None:
         return "*"
-    return f">={n.after}ns" if n.before is None else f"<{n.before}ns" if n.after is None else f"{n.after}ns..{n.before}ns"
+    if n.before is None:
+        return f">={rfc3339(n.after)}"
+    return f"<{rfc3339(n.before)}" if n.after is None else f">={rfc3339(n.after)},<{rfc3339(n.before)}"
 
 
 def render(node: q.Node, inner: bool = False) -> str:

@@ -3,6 +3,7 @@
 star: region / nation / customer / order are directories, line items are files.
 docs: documents are files of /docs/<source>/<lang>/, with their text as content.
 web: pages are files of /web/<host>/<path of the url>.
+people: customers are files of /Crm/<segment>/ on two sources, with capitals in their names, some of them hidden.
 
 An entry: source_id, entry_id, object_id, parent_id, name, path, kind, extension, size, allocated, modified, created,
 attributes, content_state, ancestors (root first), listed. Times are nanoseconds.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import extension_of
 
 ROOT, REGION, NATION, CUSTOMER, ORDER, FILE = 1, 10, 100, 10**6, 10**9, 10**12
-STAR, DOCS, WEB = 1, 2, 3
+STAR, DOCS, WEB, PEOPLE = 1, 2, 3, 11
 DAY_NS = 86_400 * 10**9
 DOCS_EPOCH = 1_700_000_000 * 10**9
 CLUSTER = 4096
@@ -137,6 +138,21 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with capitals, two sources (11 and 12), hidden and system files."""
+    c = read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    name = F.concat("c_name", F.lit(".Vcf"))
+    size = F.floor(F.abs("c_acctbal"))
+    bits = F.lit(32) + F.when(key % 5 == 0, 2).otherwise(0) + F.when(key % 7 == 0, 4).otherwise(0)
+    state = F.when(key % 3 == 0, "pending").when(key % 3 == 1, "indexed").otherwise("failed")
+    modified = F.lit(DOCS_EPOCH) - key * (DAY_NS // 24)
+    return _entry(
+        c, source_id=F.lit(PEOPLE) + F.col("c_nationkey") % 2, entry_id=key + 1, object_id=key + 1, parent_id=F.lit(None), name=name, path=F.concat(F.lit("/Crm/"), "c_mktsegment", F.lit("/"), name), kind=F.lit("file"),
+        extension=F.lit("vcf"), size=size, allocated=clusters(size), modified=modified, created=modified, attributes=bits, content_state=state, ancestors=F.array().cast("array<bigint>"), listed=F.lit(True),
+    )
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change events: seq, object_id, op, generation-bearing value; ordered by (ts, event_id)."""
     ops = F.create_map(*[F.lit(x) for kv in {"signup": "link", "view": "upsert", "click": "rename", "purchase": "content", "error": "delete"}.items() for x in kv])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SNIFF, MAX_CONTROL = 8192, 0.05
 CHUNK_BYTES, MAX_LINE = 16_384, 262_144
@@ -38,35 +39,33 @@ def sniff(head: bytes) -> str | None:
     return "cp1252"
 
 
+def _boundary(data: bytes, end: int) -> int:
+    """The last start of a UTF-8 character at or before end."""
+    while end > 0 and end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return end
+
+
 def chunk_lines(text: str, target: int = CHUNK_BYTES, longest: int = MAX_LINE) -> Iterator[dict]:
-    """Chunks of whole lines of at least `target` bytes; a line over `longest` bytes is cut. With byte and line ranges."""
-    ordinal = start = line = size = 0
-    parts: list[str] = []
-    lines = 0
-
-    def emit():
-        nonlocal ordinal, start, line, size, parts, lines
-        row = {"ordinal": ordinal, "byte_start": start, "byte_end": start + size, "first_line": line, "lines": lines, "text": "".join(parts)}
-        ordinal, start, line, size, parts, lines = ordinal + 1, start + size, line + lines, 0, [], 0
-        return row
-
-    for raw in text.splitlines(keepends=True) if "\r" not in text else text.replace("\r\n", "\n").replace("\r", "\n").splitlines(keepends=True):
-        data = raw.encode()
-        while len(data) > longest:
-            piece = data[:longest].decode("utf-8", "ignore")
-            parts, size = [*parts, piece], size + len(piece.encode())
-            data = data[len(piece.encode()) :]
-            yield emit()
-        parts.append(data.decode())
-        size += len(data)
-        lines += raw.endswith("\n")
-        if size >= target:
-            yield emit()
-    if parts:
-        yield emit()
-
-
-_CHUNK_SCHEMA = "object_id long, generation long, ordinal int, byte_start long, byte_end long, first_line long, lines long, text string"
+    """Chunks of whole lines (ended by \\n) of at least `target` bytes; a line over `longest` bytes is cut between characters. Byte
+    ranges [byte_start, byte_end), the first line and the number of line ends, the text as it is, and whether a chunk cuts a line."""
+    data = text.encode("utf-8", "surrogatepass")
+    ordinal = start = at = line = lines = 0
+    split = False
+    while at < len(data):
+        end = data.find(b"\n", at) + 1
+        if whole := 0 < end <= at + longest:
+            lines += 1
+        else:
+            end = len(data) if not end and len(data) - at < longest else _boundary(data, at + longest)
+            end = end if end > at else len(data)
+        split, at = not whole, end
+        if at - start >= target or at == len(data):
+            yield {"ordinal": ordinal, "byte_start": start, "byte_end": at, "first_line": line, "lines": lines, "text": data[start:at].decode("utf-8", "surrogatepass"), "split_line": split}
+            ordinal, start, line, lines, split = ordinal + 1, at, line + lines, 0, False
+
+
+_CHUNK_SCHEMA = "object_id long, generation long, ordinal int, byte_start long, byte_end long, first_line long, lines long, text string, split_line boolean"
 
 
 def chunked(texts: DataFrame) -> DataFrame:
@@ -74,14 +73,17 @@ def chunked(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [{"object_id": o, "generation": g, **c} for o, g, t in zip(b["object_id"], b["generation"], b["text"]) for c in chunk_lines(t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK_SCHEMA.split(", ")])
+            for o, g, t in zip(b["object_id"], b["generation"], b["text"]):
+                rows = [{"object_id": o, "generation": g, **c} for c in chunk_lines(t or "")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK_SCHEMA.split(", ")])
 
     return texts.select("object_id", "generation", "text").mapInPandas(run, _CHUNK_SCHEMA)
 
 
-def extract(spark: SparkSession, path: str) -> DataFrame:
-    """path, state (indexed, unsupported), encoding and text of files, read by Spark's binary source."""
+def extract(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """path, state, encoding and text of files, read by Spark's binary source. Files over most_bytes (the source's own limit is 2 GB)
+    are not read: their state is `partial`, their text null."""
 
     def run(batches):
         for b in batches:
@@ -89,6 +91,12 @@ def extract(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "state": ["unsupported" if k is None else "indexed" for k in kinds], "encoding": kinds, "text": [None if k is None else bytes(c).decode(k, "replace") for c, k in zip(b["content"], kinds)]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit("partial").alias("state"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("string").alias("text"))
+    files = files.where(F.col("length") <= most_bytes)
+    return large.unionByName(_read(files, run))
+
+
+def _read(files: DataFrame, run) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, state string, encoding string, text string")
 
 
@@ -96,28 +104,35 @@ _GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, 256, np.uint
 
 
 def cut_points(data: bytes, least: int = CDC_MIN, mean: int = CDC_MEAN, most: int = CDC_MAX) -> list[int]:
-    """Ends of content-defined chunks: a gear hash of the last 32 bytes meets a mask, stricter before the mean size."""
-    b = _GEAR[np.frombuffer(data, np.uint8)]
-    rolling = np.zeros(len(b), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(min(32, len(b))):
-            rolling[i:] += b[: len(b) - i] << np.uint64(i)
-    bits = int(np.log2(mean))
-    strict = np.flatnonzero((rolling >> np.uint64(64 - 34)) & np.uint64((1 << (bits + 2)) - 1) == 0)
-    loose = np.flatnonzero((rolling >> np.uint64(64 - 34)) & np.uint64((1 << (bits - 2)) - 1) == 0)
+    """Ends of content-defined chunks. A gear hash starts anew at each cut, at the byte that makes the chunk `least` long; a chunk ends where its low
+    bits are 0: one bit more than log2(mean) before the mean size, one less after it, or at `most` bytes."""
+    bits = round(np.log2(max(2, mean)))
+    strict, loose = np.uint64((1 << (bits + 1)) - 1), np.uint64((1 << (bits - 1)) - 1)
+    gear = _GEAR[np.frombuffer(data, np.uint8)]
     ends, start = [], 0
-    while start < len(b):
-        cut = None
-        for found, low, high in ((strict, least, mean), (loose, mean, most)):
-            i = np.searchsorted(found, start + low)
-            if i < len(found) and found[i] < min(start + high, len(b)):
-                cut = int(found[i]) + 1
-                break
-        start = cut or min(start + most, len(b))
-        ends.append(start)
+    with np.errstate(over="ignore"):
+        while start < len(gear):
+            first, stop = start + least - 1, min(start + most, len(gear))
+            part = gear[first:stop]
+            # a byte's part leaves the low bits after as many steps as there are bits
+            rolling = np.zeros(len(part), np.uint64)
+            for i in range(min(bits + 1, len(part))):
+                rolling[i:] += part[: len(part) - i] << np.uint64(i)
+            sizes = np.arange(least, least + len(part))
+            hit = np.flatnonzero(rolling & np.where(sizes < mean, strict, loose) == 0)
+            start = first + int(hit[0]) + 1 if len(hit) else stop
+            ends.append(start)
     return ends
 
 
+def looks_textual(sample: bytes) -> bool | None:
+    """No zero byte and nine tenths printable; None for an empty sample."""
+    if not sample:
+        return None
+    odd = sum(b < 32 and b not in (9, 10, 13) or b == 127 for b in sample)
+    return b"\0" not in sample and 10 * (len(sample) - odd) >= 9 * len(sample)
+
+
 def content_defined(texts: DataFrame) -> DataFrame:
     """object_id, ordinal, bytes, chunk_hash of content-defined chunks."""
     import hashlib

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.classify import KIND_EXTENSIONS, TEXT_KINDS
-from larkspur.operators import bookkeeping, content, generation, policy, rollup, search
+from larkspur import views
+from larkspur.functions import text as texts
+from larkspur.operators import bookkeeping, content, generation, index, lookups, policy, rollup, search
+from larkspur.plans.compile import Compiler
 from larkspur.sources import corpus, export, textfiles
-from larkspur.streaming import feed, ledger
+from larkspur.streaming import feed, ledger, replica, watch
 
 #: A fixed now: 2001-01-10 UTC, in the middle of the star catalog's times.
 NOW = 979_084_800 * 10**9
@@ -59,6 +61,10 @@ last AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY object_id) AS n_ev
 ledger AS (SELECT event_id AS seq, object_id, op = 'delete' AS deleted, sha256(object_id || '|' || op || '|' || size) AS image_hash, "at" AS touched_at
            FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS k FROM feed) WHERE k = 1)"""
 
+PEOPLE_SQL = """people AS (
+  SELECT 11 + c_nationkey % 2 AS source_id, c_custkey + 1 AS entry_id, c_name || '.Vcf' AS name, '/Crm/' || c_mktsegment || '/' || c_name || '.Vcf' AS path, CAST(floor(abs(c_acctbal)) AS BIGINT) AS size,
+         32 + CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 4 ELSE 0 END AS attributes, ['pending', 'indexed', 'failed'][c_custkey % 3 + 1] AS content_state FROM customer)"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -69,23 +75,33 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         _SQL[name] = f"WITH {ctes} {sql}" if ctes else sql
 
 
-def _finds(name: str, source: str, text: str, sql: str, mode: str = "both", columns: str = "entry_id") -> None:
+def _finds(name: str, source: str, text: str, sql: str, mode: str = "both", columns: str = "entry_id", compiler: Compiler | None = None, **request) -> None:
     """A search over a corpus; sql is the WHERE clause, or a whole SELECT."""
-    ctes = {"files": STAR_SQL, "tree": STAR_SQL, "docs": DOCS_SQL, "web": WEB_SQL}[source]
-    table = {"files": "files", "tree": "(SELECT d.*, r.* EXCLUDE (dir_id) FROM dirs d JOIN roll r ON d.entry_id = r.dir_id)", "docs": "docs", "web": "web"}[source]
+    ctes = {"files": STAR_SQL, "tree": STAR_SQL, "docs": DOCS_SQL, "web": WEB_SQL, "people": PEOPLE_SQL}[source]
+    table = {"files": "files", "tree": "(SELECT d.*, r.* EXCLUDE (dir_id) FROM dirs d JOIN roll r ON d.entry_id = r.dir_id)", "docs": "docs", "web": "web", "people": "people"}[source]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = corpus.chunks(spark, sf_dir) if source == "docs" else None
-        found, _ = search.matches(_documents(spark, sf_dir, source), search.Request(text, mode, now=NOW), chunks)
+        found, _ = search.matches(_documents(spark, sf_dir, source), search.Request(text, mode, now=NOW, **request), chunks, compiler)
         return found.select(*columns.split(", "))
 
     _add(name, run, sql if sql.lstrip().startswith("SELECT") else f"SELECT {columns} FROM {table} WHERE {sql}", ctes)
 
 
 def _documents(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    if source == "tree":
-        return rollup.entry_documents(corpus.star(spark, sf_dir))
-    return rollup.file_documents({"files": corpus.star_files, "docs": corpus.docs, "web": corpus.web}[source](spark, sf_dir))
+    """Entry documents: the star catalog's from its stored index, which is built at its first use."""
+    if source in ("tree", "files"):
+        docs = star_index(spark, sf_dir).entries()
+        return docs if source == "tree" else docs.where("kind = 'file'")
+    return rollup.file_documents({"docs": corpus.docs, "web": corpus.web, "people": corpus.people}[source](spark, sf_dir))
+
+
+def star_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.opened(spark, f"star {sf_dir}", entries=lambda: corpus.star(spark, sf_dir))
+
+
+def docs_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.opened(spark, f"docs {sf_dir}", entries=lambda: corpus.docs(spark, sf_dir), chunks=lambda: corpus.chunks(spark, sf_dir))
 
 
 # predicates on metadata
@@ -105,11 +121,17 @@ _finds("pred_attr_all_none", "files", "attr:readonly,-hidden", "attributes & 1 =
 _finds("pred_state", "files", "state:pending,excluded", "content_state IN ('pending', 'excluded')")
 _finds("pred_not_group", "files", "-(ext:r OR size:>40k)", "NOT (extension = 'r' OR size > 40960)")
 _finds("pred_or_mixed", "files", "ext:a size:>60k | state:pending size:<5k", "(extension = 'a' AND size > 61440) OR (content_state = 'pending' AND size < 5120)")
-_finds("pred_source", "files", "source:s:1 ext:n", "source_id = 1 AND extension = 'n'")
-_finds("pred_object", "files", "object:o:1000000000001,7", "entry_id IN (1000000000001, 7)")
+_finds("pred_source", "people", "source:s:12 size:>1k", "source_id = 12 AND size > 1024")
+_finds("pred_source_name", "people", "source:beta OR source:s:99", "source_id = 12", compiler=Compiler({"alpha": 11, "beta": 12}))
+_finds("pred_object", "people", "object:o:5,7,100000007", "entry_id IN (5, 7)")
+_finds("mode_files_visible", "people", "kind:file", "attributes & 6 = 0", mode="files", hidden=False)
+_finds("retired_left_out", "people", "*", "source_id = 12", retired=(11,))
+_finds("retired_included", "people", "size:<100", "size < 100", retired=(11,), include_retired=True)
 _finds("mode_files_hidden", "files", "attr:hidden", "attributes & 2 = 2", mode="files")
 # paths and names
-_finds("path_exact_folded", "files", "path:=i/star/asia", "lower(path) = '/star/asia'")
+_finds("path_exact_folded", "tree", "path:=i/STAR/Asia", "path = '/star/asia'")
+_finds("path_exact_mixed", "people", "path:=i/crm/HOUSEHOLD/customer#000000000.vcf OR path:=/crm/household/customer#000000000.vcf", "lower(path) = '/crm/household/customer#000000000.vcf'")
+_finds("path_prefix_mixed", "people", "/crm/machinery", "path LIKE '/Crm/MACHINERY/%'")
 _finds("path_prefix", "files", "/star/asia", "path = '/star/asia' OR path LIKE '/star/asia/%'")
 _finds("path_glob_anchored", "files", "path:/star/europe/*/cust-1*/*", "regexp_full_match(path, '/star/europe/.*/cust-1.*/.*')")
 _finds("path_glob_suffix", "files", "path:part-1?-3.r", "regexp_full_match(path, '.*part-1.-3[.]r')")
@@ -120,10 +142,15 @@ _finds("name_ranked", "files", "part 17", "list_contains(regexp_split_to_array(p
 _finds("name_phrase", "files", 'name:"17 3"', "regexp_matches(name, '(^|[^a-z0-9])17[^a-z0-9]+3([^a-z0-9]|$)')")
 _finds("name_proximity", "files", 'name:"part r"~2', "regexp_matches(name, '^part-[0-9]+-[0-9]+[.]r$')")
 _finds("name_exact_ci", "files", "name:=iPART-5-1.R", "lower(name) = 'part-5-1.r'")
-_finds("name_exact_cs", "files", "name:=Part-5-1.r", "name = 'Part-5-1.r'")
+_finds("name_exact_cs", "people", "name:=Customer#000000005.Vcf OR name:=customer#000000006.vcf", "name = 'Customer#000000005.Vcf'")
+_finds("name_exact_folded", "people", "name:=icustomer#000000006.VCF", "name = 'Customer#000000006.Vcf'")
+_finds("name_substring_cs", "people", "name:~er#00000001", "contains(name, 'er#00000001')")
 _finds("name_substring", "files", "name:-99-", "contains(lower(name), '-99-')")
 _finds("name_regex", "files", r"name:/^PART-1\d-[35]\./", "regexp_matches(name, '^part-1[0-9]-[35][.]')")
-_finds("name_regex_cs", "files", r"name:/^PART-1/c", "regexp_matches(name, '^PART-1')")
+_finds("name_regex_cs", "people", r"name:/^Customer#\d+[05]\.V/c OR name:/^customer/c", "regexp_matches(name, '^Customer#[0-9]+[05][.]V')")
+_finds("time_units", "files", "mtime:>=4.5weeks mtime:<=1day", f"modified >= {NOW - int(4.5 * 7) * DAY - DAY // 2} AND modified < {NOW + 1}")
+_finds("time_exact_range", "files", "mtime:>=2000-03-01T00:00:00Z,<2000-03-05T12:00:00Z", f"modified >= {951868800 * 10**9} AND modified < {952257600 * 10**9}")
+_finds("size_below_zero", "files", "size:<0 OR size:2k..1k OR ext:n && size:<2k", "size <= 0 OR (extension = 'n' AND size < 2048)")
 _finds("name_glob", "files", "part-2?-*.n", "regexp_full_match(name, 'part-2.-.*[.]n')")
 _finds("under_dir", "tree", "in:o:10", "list_contains(ancestors, 10)", mode="directories")
 _finds("under_dir_depth", "tree", "in:o:10~2", "list_contains(ancestors, 10) AND len(ancestors) - list_position(ancestors, 10) + 1 <= 2", mode="directories")
@@ -215,16 +242,38 @@ _finds("content_and_meta", "docs", "content:~the ext:en size:>=1k", "contains(te
 _finds("content_not", "docs", "ext:fr -content:les", "extension = 'fr' AND object_id NOT IN (SELECT object_id FROM toks WHERE list_contains(tokens, 'les'))")
 _finds("content_or_meta", "docs", "content:~MIT OR size:<300", "contains(text, 'MIT') OR size < 300")
 _finds("content_ranked", "docs", "content:license", "object_id IN (SELECT object_id FROM toks WHERE list_contains(tokens, 'license'))")
+_BM25_SELECT = """SELECT object_id, round(ln(1 + (nc - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / ml)) + ln(1 + (nc - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * l / ml)), 6) AS score
+  FROM m, s WHERE t1 > 0 AND t2 > 0"""
 _BM25 = """, s AS (SELECT count(*) AS nc, avg(len(tokens)) AS ml, count(*) FILTER (list_contains(tokens, 'license')) AS d1, count(*) FILTER (list_contains(tokens, 'version')) AS d2 FROM toks),
 m AS (SELECT object_id, len(tokens) AS l, len(list_filter(tokens, lambda t: t = 'license')) AS t1, len(list_filter(tokens, lambda t: t = 'version')) AS t2 FROM toks)"""
-_add("content_ranked_bm25", lambda s, d: content.bm25(corpus.chunks(s, d), "license version").select("object_id", F.round("score", 6).alias("score")),
-     "SELECT object_id, round(ln(1 + (nc - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / ml)) + ln(1 + (nc - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * l / ml)), 6) AS score FROM m, s WHERE t1 > 0 AND t2 > 0", DOCS_SQL + _BM25)
+_add("content_ranked_scan", lambda s, d: content.bm25(corpus.chunks(s, d), "license version").select("object_id", F.round("score", 6).alias("score")), _BM25_SELECT, DOCS_SQL + _BM25)
+_add("content_ranked_bm25", lambda s, d: docs_index(s, d).bm25("license version").select("object_id", F.round("score", 6).alias("score")),
+     _BM25_SELECT, DOCS_SQL + _BM25)
+_add("content_ranked_page", lambda s, d: docs_index(s, d).search(search.Request("content:license ext:en", "files", limit=20)).hits.select("entry_id", F.round("score", 6).alias("score")),
+     "SELECT object_id AS entry_id, round(1.1 * ln(1 + (nc - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / ml)), 6) AS score FROM m JOIN docs USING (object_id), s WHERE t1 > 0 AND extension = 'en' ORDER BY score DESC, name, entry_id LIMIT 20", DOCS_SQL + _BM25)
 _add("content_ranked_objects", lambda s, d: content.ranked_objects(content.bm25(corpus.chunks(s, d), "license")).select("object_id", F.round("score", 6).alias("score")),
      "SELECT object_id, round(1.1 * ln(1 + (nc - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / ml)), 6) AS score FROM m, s WHERE t1 > 0", DOCS_SQL + _BM25)
 _add("content_latest_generation", lambda s, d: content.latest(corpus.chunks(s, d).union(corpus.chunks(s, d).where("object_id % 3 = 0").withColumn("generation", F.lit(2).cast("long")))).groupBy("generation").agg(F.count("*").alias("chunks")),
      "SELECT CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generation, count(*) AS chunks FROM documents GROUP BY 1")
-_add("chunk_lines", lambda s, d: corpus.chunks(s, d).select("object_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("line_ends"), F.octet_length("text").cast("long").alias("bytes")),
-     "SELECT doc_id AS object_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS line_ends, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+
+
+def _carriage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line ends of two characters in every sentence."""
+    return corpus.chunks(spark, sf_dir).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\r\n")))
+
+
+_add("chunk_lines", lambda s, d: textfiles.chunked(_carriage(s, d)).select("object_id", F.col("ordinal").cast("long").alias("ordinal"), "byte_start", "byte_end", "first_line", "lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash")),
+     """SELECT c.doc_id AS object_id, c.ordinal, c.a AS byte_start, c.b AS byte_end, (SELECT count(*) FROM ends e WHERE e.doc_id = c.doc_id AND e.e <= c.a AND e.e <= f.newlines_to) AS first_line,
+       (SELECT count(*) FROM ends e WHERE e.doc_id = c.doc_id AND e.e > c.a AND e.e <= c.b AND e.e <= f.newlines_to) AS lines,
+       sha256(array_to_string(list_slice(f.parts, CAST((SELECT count(*) FROM ends e WHERE e.doc_id = c.doc_id AND e.e <= c.a) AS BIGINT) + 1, CAST((SELECT count(*) FROM ends e WHERE e.doc_id = c.doc_id AND e.e <= c.b) AS BIGINT)), '')) AS text_hash
+     FROM c JOIN full_ f ON f.doc_id = c.doc_id""",
+     """RECURSIVE t AS (SELECT doc_id, replace(text, '. ', '.' || chr(13) || chr(10)) AS text FROM documents WHERE text <> ''),
+     raw AS (SELECT doc_id, strlen(text) AS total, string_split(text, chr(10)) AS pieces FROM t),
+     full_ AS (SELECT doc_id, total, list_filter(list_concat(list_transform(pieces[:-2], lambda p: p || chr(10)), [pieces[-1]]), lambda p: p <> '') AS parts, total - strlen(pieces[-1]) AS newlines_to FROM raw),
+     ends AS (SELECT doc_id, CAST(sum(strlen(p)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (SELECT doc_id, unnest(parts) AS p, unnest(range(len(parts))) AS i FROM full_)),
+     starts AS (SELECT doc_id, e FROM ends UNION ALL SELECT doc_id, 0 FROM full_),
+     nxt AS (SELECT s.doc_id, s.e AS a, coalesce(min(n.e), any_value(f.total)) AS b FROM starts s JOIN full_ f ON f.doc_id = s.doc_id LEFT JOIN ends n ON n.doc_id = s.doc_id AND n.e - s.e >= 16384 WHERE s.e < f.total GROUP BY 1, 2),
+     c AS (SELECT doc_id, CAST(0 AS BIGINT) AS ordinal, a, b FROM nxt WHERE a = 0 UNION ALL SELECT n.doc_id, c.ordinal + 1, n.a, n.b FROM c JOIN nxt n ON n.doc_id = c.doc_id AND n.a = c.b)""")
 _add("token_stats", lambda s, d: content.token_stats(corpus.chunks(s, d)), "SELECT token, count(DISTINCT object_id) AS n_chunks, count(*) AS occurrences FROM (SELECT object_id, unnest(tokens) AS token FROM toks) GROUP BY token", DOCS_SQL)
 _add("dup_content_groups", lambda s, d: content.duplicate_contents(corpus.chunks(s, d)), "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_object FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 _TRIGRAMS = "tri AS (SELECT DISTINCT doc_id AS object_id, substr(lower(text), i, 3) AS trigram FROM (SELECT doc_id, text, unnest(generate_series(1, length(lower(text)) - 2)) AS i FROM documents))"
@@ -248,11 +297,11 @@ _add("feed_coalesced", lambda s, d: feed.coalesced(corpus.feed(s, d)).select("ob
 _add("feed_generations", lambda s, d: feed.generations(corpus.feed(s, d)),
      "SELECT object_id, 1 + CAST(sum(CASE WHEN op IN ('upsert', 'content') AND size IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS generation FROM (SELECT *, lag(size) OVER (PARTITION BY object_id ORDER BY \"at\", event_id) AS before FROM feed) GROUP BY 1", FEED_SQL)
 _add("ledger_latest", lambda s, d: ledger.ledger(corpus.feed(s, d)), "SELECT seq, object_id, deleted, image_hash, touched_at FROM ledger", FEED_SQL)
-_add("ledger_batch", lambda s, d: ledger.batch(ledger.ledger(corpus.feed(s, d)), 100, 5000, 50).select("seq", "object_id"), "SELECT seq, object_id FROM ledger WHERE seq > 100 AND seq <= 5000 ORDER BY seq LIMIT 50", FEED_SQL)
+_add("ledger_batch", lambda s, d: ledger.batch(ledger.ledger(corpus.feed(s, d)), 100, 10**12, 50).select("seq", "object_id"), "SELECT seq, object_id FROM ledger WHERE seq > 100 ORDER BY seq LIMIT 50", FEED_SQL)
 _add("ledger_minted", lambda s, d: ledger.minted(corpus.feed(s, d).select(F.lit(1).alias("source_id"), "object_id").distinct(), 1000).select("object_id", "seq"), "SELECT object_id, 1000 + row_number() OVER (ORDER BY object_id) AS seq FROM (SELECT DISTINCT object_id FROM feed)", FEED_SQL)
 _add("chain_hash", lambda s, d: ledger.chain(ledger.ledger(corpus.feed(s, d))), "SELECT CAST(floor(seq / 1000) AS BIGINT) AS block, count(*) AS rows, sha256(string_agg(seq || ':' || image_hash, ',' ORDER BY seq)) AS block_hash FROM ledger GROUP BY 1", FEED_SQL)
 _add("merkle_leaves", lambda s, d: ledger.merkle_leaves(ledger.ledger(corpus.feed(s, d))),
-     "SELECT CAST(('0x' || substr(md5(CAST(object_id AS VARCHAR)), 1, 4)) AS BIGINT) % 64 AS leaf, count(*) AS rows, sha256(string_agg(object_id || ':' || image_hash, ',' ORDER BY object_id)) AS leaf_hash FROM ledger GROUP BY 1", FEED_SQL)
+     "SELECT CAST(('0x' || substr(md5(CAST(object_id AS VARCHAR)), 1, 8)) AS BIGINT) % 1024 AS leaf, count(*) AS rows, sha256(string_agg(object_id || ':' || image_hash, ',' ORDER BY object_id)) AS leaf_hash FROM ledger GROUP BY 1", FEED_SQL)
 
 
 def _merkle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,8 +313,24 @@ def _merkle_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("merkle_repair", _merkle_diff, "SELECT seq, object_id, image_hash FROM ledger", FEED_SQL)
-_add("compaction_floor", lambda s, d: ledger.compacted(ledger.ledger(corpus.feed(s, d)), 5000).select("seq", "deleted"), "SELECT seq, deleted FROM ledger WHERE NOT (deleted AND seq <= 5000)", FEED_SQL)
-_add("backlog", lambda s, d: ledger.backlog(ledger.ledger(corpus.feed(s, d)), 5000), "SELECT count(*) AS rows, count(*) FILTER (deleted) AS deletes, min(touched_at) AS oldest FROM ledger WHERE seq > 5000", FEED_SQL)
+
+
+def _floor(spark: SparkSession, sf_dir: str) -> int:
+    """The least sequence that consumers have acknowledged: every third object's is one."""
+    done = ledger.ledger(corpus.feed(spark, sf_dir)).where("object_id % 3 = 0")
+    marks = done.select(F.lit(1).cast("long").alias("source_id"), F.col("object_id").alias("consumer"), F.col("seq").alias("acked"))
+    row = ledger.floor(ledger.advanced(marks, marks.withColumn("acked", F.col("acked") + 40))).first()
+    return row["floor"] if row else 0
+
+
+FLOOR_SQL = FEED_SQL + ", fl AS (SELECT min(seq) + 40 AS f FROM ledger WHERE object_id % 3 = 0)"
+_add("compaction_floor", lambda s, d: ledger.compacted(ledger.ledger(corpus.feed(s, d)), _floor(s, d)).select("seq", "deleted"), "SELECT seq, deleted FROM ledger, fl WHERE NOT (deleted AND seq <= f)", FLOOR_SQL)
+_add("backlog", lambda s, d: ledger.backlog(ledger.ledger(corpus.feed(s, d)), _floor(s, d)), "SELECT count(*) AS rows, count(*) FILTER (deleted) AS deletes, min(touched_at) AS oldest FROM ledger, fl WHERE seq > f", FLOOR_SQL)
+_add("chain_fold", lambda s, d: ledger.chained(ledger.ledger(corpus.feed(s, d)).withColumns({"source_id": (F.col("object_id") % 2).cast("long"), "generation": F.lit(1)})),
+     "SELECT source_id, seq, chain FROM folded", "RECURSIVE " + FEED_SQL + """, r AS (SELECT object_id % 2 AS source_id, seq, object_id || '|1|' || CASE WHEN deleted THEN 'deleted' ELSE image_hash END AS x, row_number() OVER (PARTITION BY object_id % 2 ORDER BY seq) AS k FROM ledger),
+     folded AS (SELECT source_id, seq, k, sha256(repeat('0', 64) || '|' || x) AS chain FROM r WHERE k = 1 UNION ALL SELECT r.source_id, r.seq, r.k, sha256(f.chain || '|' || r.x) FROM folded f JOIN r ON r.source_id = f.source_id AND r.k = f.k + 1)""")
+_add("backfill_step", lambda s, d: ledger.stamped(corpus.feed(s, d).select(F.lit(1).alias("source_id"), "object_id").distinct(), 10, 500, 30).select("object_id", "seq"),
+     "SELECT object_id, 500 + row_number() OVER (ORDER BY object_id) AS seq FROM (SELECT DISTINCT object_id FROM feed WHERE object_id > 10) ORDER BY object_id LIMIT 30", FEED_SQL)
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,17 +357,16 @@ _add("latency_percentiles", lambda s, d: bookkeeping.percentiles(corpus.read(s,
      "SELECT event_type, " + ", ".join(f"list_sort(list(value))[CAST(floor({p / 100} * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS p{p}" for p in (50, 95, 99)) + ", max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 
 # policy, publishing, profile
-_KINDS = "CASE " + " ".join(f"WHEN extension IN ({', '.join(repr(e) for e in names.split())}) THEN '{kind}'" for kind, names in KIND_EXTENSIONS.items()) + " ELSE 'other' END"
-_TEXT = ", ".join(repr(e) for k in TEXT_KINDS for e in KIND_EXTENSIONS[k].split())
-_add("profile_by_kind", lambda s, d: bookkeeping.profile_kinds(corpus.star(s, d)), f"SELECT {_KINDS} AS file_kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (extension IN ({_TEXT})) AS text_candidates FROM files GROUP BY 1", STAR_SQL)
+_add("profile_by_kind", lambda s, d: bookkeeping.profile_kinds(corpus.star(s, d)), "SELECT CASE extension WHEN 'r' THEN 'code' WHEN 'a' THEN 'binary' ELSE 'unknown' END AS file_kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (extension <> 'a') AS text_candidates FROM files GROUP BY 1", STAR_SQL)
+_add("profile_extensions", lambda s, d: bookkeeping.top_by(corpus.star_files(s, d).groupBy("extension").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), "bytes", "extension", 2), "SELECT extension, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1 ORDER BY bytes DESC, extension LIMIT 2", STAR_SQL)
 _add("profile_top_dirs", lambda s, d: bookkeeping.top_by(rollup.subtree_rollup(corpus.star(s, d)), "subtree_logical", "dir_id", 20).select("dir_id", "subtree_logical"), "SELECT dir_id, subtree_logical FROM roll ORDER BY subtree_logical DESC, dir_id LIMIT 20", STAR_SQL)
 _add("profile_largest", lambda s, d: bookkeeping.top_by(corpus.star_files(s, d), "size", "entry_id", 20).select("entry_id", "size"), "SELECT entry_id, size FROM files ORDER BY size DESC, entry_id LIMIT 20", STAR_SQL)
 _add("size_histogram", lambda s, d: bookkeeping.size_histogram(corpus.star(s, d)), "SELECT CASE WHEN size <= 0 THEN -1 ELSE length(ltrim(bin(size), '0')) - 1 END AS power, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1", STAR_SQL)
-_RULES = [("prefix", "/star/asia", False), ("prefix", "/star/asia/china", True), ("regex", "/cust-1[0-9]*/", False)]
+_RULES = [("prefix", "/star/asia", False), ("prefix", "/star/asia/nation_7", True), ("regex", "/cust-1[0-9]*/", False)]
 _add("policy_decisions", lambda s, d: policy.decided(_documents(s, d, "files"), _RULES).select("entry_id", "reason", "included"),
-     "SELECT entry_id, reason, reason = '' AS included FROM (SELECT entry_id, CASE WHEN regexp_matches(path, '/cust-1[0-9]*/') THEN 'operator_rule' WHEN path LIKE '/star/asia/china/%' THEN '' WHEN path LIKE '/star/asia/%' THEN 'operator_rule' ELSE 'not_text' END AS reason FROM files)", STAR_SQL)
+     "SELECT entry_id, reason, reason = '' AS included FROM (SELECT entry_id, CASE WHEN regexp_matches(path, '/cust-1[0-9]*/') THEN 'user_exclude' WHEN path LIKE '/star/asia/nation_7/%' THEN '' WHEN path LIKE '/star/asia/%' THEN 'user_exclude' WHEN extension = 'a' THEN 'binary_data' ELSE '' END AS reason FROM files)", STAR_SQL)
 _add("exclusion_summary", lambda s, d: bookkeeping.exclusion_summary(policy.decided(_documents(s, d, "files"), _RULES)),
-     "SELECT 'content' AS stage, reason, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CASE WHEN regexp_matches(path, '/cust-1[0-9]*/') THEN 'operator_rule' WHEN path LIKE '/star/asia/china/%' THEN '' WHEN path LIKE '/star/asia/%' THEN 'operator_rule' ELSE 'not_text' END AS reason FROM files) WHERE reason <> '' GROUP BY reason", STAR_SQL)
+     "SELECT 'content' AS stage, reason, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CASE WHEN regexp_matches(path, '/cust-1[0-9]*/') THEN 'user_exclude' WHEN path LIKE '/star/asia/nation_7/%' THEN '' WHEN path LIKE '/star/asia/%' THEN 'user_exclude' WHEN extension = 'a' THEN 'binary_data' ELSE '' END AS reason FROM files) WHERE reason <> '' GROUP BY reason", STAR_SQL)
 
 
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,13 +391,124 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("coverage_reasons", lambda s, d: policy.coverage_reasons(_sources(s, d), NOW, 3 * DAY).select("source_id", F.array_join("reasons", ",").alias("reasons"), "full"),
-     """SELECT source_id, reasons, reasons = '' AS full FROM (SELECT n_nationkey AS source_id, concat_ws(',', CASE WHEN n_nationkey = 24 THEN 'retired' END, CASE WHEN n_nationkey % 7 = 0 THEN 'never_published' END, CASE WHEN n_nationkey % 5 = 1 THEN 'offline' END,
-     CASE WHEN n_nationkey % 5 = 0 THEN 'degraded' END, CASE WHEN n_nationkey % 7 <> 0 AND n_nationkey % 2 = 1 THEN 'index_behind' END, CASE WHEN n_nationkey >= 6 THEN 'stale' END, CASE WHEN n_nationkey % 4 > 0 THEN 'enumeration_errors' END,
-     CASE WHEN n_nationkey % 3 > 0 THEN 'content_pending' END) AS reasons FROM nation)""")
+     """SELECT source_id, reasons, reasons = '' AS full FROM (SELECT n_nationkey AS source_id, concat_ws(',', CASE WHEN n_nationkey % 5 = 1 THEN 'offline' END, CASE WHEN n_nationkey % 6 <> 0 AND n_nationkey >= 6 THEN 'stale' END,
+     CASE WHEN n_nationkey % 5 = 0 THEN 'degraded_feed' END, CASE WHEN n_nationkey % 7 = 0 THEN 'not_scanned' END, CASE WHEN n_nationkey % 7 <> 0 AND n_nationkey % 2 = 1 THEN 'not_indexed' END,
+     CASE WHEN n_nationkey % 3 > 0 THEN 'content_pending' END, CASE WHEN n_nationkey % 4 > 0 THEN 'listing_errors' END) AS reasons FROM nation)""")
 _add("reconcile", lambda s, d: policy.reconcile(_sources(s, d), NOW), "SELECT n_nationkey AS source_id, CASE WHEN n_nationkey % 6 = 0 THEN 'none' WHEN n_nationkey >= 6 THEN 'stale' WHEN n_nationkey >= 3 THEN 'rescan' ELSE 'none' END AS action FROM nation")
 _add("completeness", lambda s, d: policy.completeness(s.createDataFrame([(1, "complete")], "source_id long, state string"), bookkeeping.state_counts(corpus.star_files(s, d))), "SELECT 1 AS source_id, true AS metadata_complete, count(*) = 0 AS content_complete, count(*) AS unfinished FROM files WHERE content_state = 'pending'", STAR_SQL)
 _add("export_rows", lambda s, d: export.csv_lines(_documents(s, d, "files").where("extension = 'a' and size > 90000").withColumn("score", F.lit(None).cast("string"))),
-     "SELECT concat_ws(',', entry_id, entry_id, source_id, name, path, kind, extension, size, allocated, modified, created, attributes, content_state, '') AS value FROM files WHERE extension = 'a' AND size > 90000", STAR_SQL)
+     "SELECT concat_ws(',', entry_id, entry_id, source_id, kind, name, path, extension, size, allocated, modified, created, content_state, '', '') AS value FROM files WHERE extension = 'a' AND size > 90000", STAR_SQL)
+
+
+# lookups
+_add("entries_of_object", lambda s, d: lookups.entries_of(corpus.star(s, d).withColumn("object_id", F.col("entry_id") % 1000), 7).select("entry_id"), "SELECT entry_id FROM (SELECT entry_id FROM files UNION ALL SELECT entry_id FROM dirs) WHERE entry_id % 1000 = 7", STAR_SQL)
+_add("object_generations", lambda s, d: lookups.generations_of(corpus.people(s, d).withColumn("generation", F.col("object_id") % 4), [3, 4, 9, -1]).select("object_id", "generation"), "SELECT entry_id AS object_id, entry_id % 4 AS generation FROM people WHERE entry_id IN (3, 4, 9)", PEOPLE_SQL)
+_add("children_light", lambda s, d: lookups.light_counts(rollup.subtree_rollup(corpus.star(s, d)), s.createDataFrame([(1, 1)], "source_id long, dir_id long")), "SELECT 1 AS source_id, file_count AS files, dir_count AS directories, subtree_logical AS bytes FROM roll WHERE dir_id = 1", STAR_SQL)
+_add("top_extensions", lambda s, d: lookups.top_extensions(rollup.extension_counts(corpus.star(s, d)), 2).select("dir_id", F.array_join(F.transform(F.map_entries("extension_counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("best")),
+     "SELECT dir_id, string_agg(extension || ':' || files, ',' ORDER BY files DESC, extension) AS best FROM (SELECT *, row_number() OVER (PARTITION BY dir_id ORDER BY files DESC, extension) AS k FROM exts) WHERE k <= 2 GROUP BY dir_id", STAR_SQL)
+_add("descendants", lambda s, d: lookups.descendants(star_index(s, d).entries(), 101).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT 'directory' AS kind, ancestors FROM dirs UNION ALL SELECT kind, ancestors FROM files) WHERE list_contains(ancestors, 101) GROUP BY 1", STAR_SQL)
+_add("ancestors_nearest", lambda s, d: lookups.ancestors(star_index(s, d).entries(), 101).select("depth", "entry_id"), "SELECT CAST(len(a) - i AS INTEGER) AS depth, a[i] AS entry_id FROM (SELECT ancestors AS a, unnest(range(1, len(ancestors) + 1)) AS i FROM dirs WHERE entry_id = 101)", STAR_SQL)
+_add("chunks_range", lambda s, d: lookups.chunks_range(textfiles.chunked(corpus.chunks(s, d)), 0, 1, 0, 2).select("ordinal", "byte_start"), "SELECT CAST(0 AS INTEGER) AS ordinal, CAST(0 AS BIGINT) AS byte_start FROM documents WHERE doc_id = 0 AND strlen(text) BETWEEN 1 AND 16383")
+_add("chunks_sampled", lambda s, d: lookups.chunks_sampled(corpus.chunks(s, d)).select("object_id"), "SELECT doc_id AS object_id FROM documents WHERE doc_id % 97 = 0")
+_add("chunks_for_rebuild", lambda s, d: lookups.current_chunks(corpus.docs(s, d).select("object_id", (F.col("object_id") % 2).alias("generation"), F.lit("indexed").alias("state")), corpus.chunks(s, d)).select("object_id"), "SELECT doc_id AS object_id FROM documents WHERE doc_id % 2 = 1")
+_add("sources_volumes", lambda s, d: lookups.with_volumes(corpus.read(s, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.when(F.col("n_nationkey") % 4 == 0, "remote").otherwise("local").alias("kind"), F.col("n_regionkey").alias("volume_id"), (F.col("n_nationkey") == 8).alias("case_sensitive")),
+     corpus.read(s, d, "region").where("r_regionkey <> 3").select(F.col("r_regionkey").alias("volume_id"), (F.col("r_regionkey") == 1).alias("case_sensitive"))).select("source_id", "case_sensitive"),
+     "SELECT n_nationkey AS source_id, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey = 8 ELSE n_regionkey = 1 END AS case_sensitive FROM nation")
+_add("hosts_listed", lambda s, d: lookups.hosts_listed(corpus.read(s, d, "nation").select(F.col("n_nationkey").alias("host_id"), F.col("n_name").alias("name")), "nation_7").select("host_id"), "SELECT n_nationkey AS host_id FROM nation WHERE lower(n_name) = 'nation_7'")
+
+# jobs and states
+PEOPLE_JOBS_SQL = PEOPLE_SQL + """, jobs AS (SELECT entry_id AS job_id, entry_id AS object_id, source_id, size AS estimated_cost, 'content_text:' || entry_id || ':1' AS idempotency_key, ['queued', 'failed', 'running', 'done'][entry_id % 4 + 1] AS state FROM people WHERE entry_id % 2 = 0)"""
+
+
+def _people_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second customer has a job."""
+    e = F.col("entry_id")
+    state = F.element_at(F.array(*map(F.lit, ("queued", "failed", "running", "done"))), (e % 4 + 1).cast("int"))
+    return corpus.people(spark, sf_dir).where(e % 2 == 0).select(e.alias("job_id"), "object_id", F.lit(1).cast("long").alias("object_generation"), "source_id", F.col("size").alias("estimated_cost"), F.lit("content_text").alias("stage"), state.alias("state"),
+                                                                F.concat(F.lit("content_text:"), e.cast("string"), F.lit(":1")).alias("idempotency_key"), (e % 7).cast("int").alias("attempts"), F.lit(None).cast("string").alias("failure"), F.lit(0).cast("long").alias("scheduled_at"))
+
+
+def _people_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.people(spark, sf_dir).withColumns({"generation": (F.lit(1) + (F.col("entry_id") % 10 == 0).cast("int")).cast("long"), "deleted_at": F.when(F.col("entry_id") % 14 == 0, 1)})
+
+
+def _people_sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(11, "complete", True, 1), (12, "content_pending", False, 1), (13, "offline", True, 1)], "source_id long, state string, content_enabled boolean, published_generation long")
+
+
+_add("jobs_enqueued", lambda s, d: bookkeeping.enqueued(_people_objects(s, d), corpus.people(s, d), _people_jobs(s, d), 40).select("object_id", "priority", "idempotency_key", "estimated_cost"),
+     """SELECT entry_id AS object_id, CAST(3 AS INTEGER) AS priority, 'content_text:' || entry_id || ':' || CASE WHEN entry_id % 10 = 0 THEN 2 ELSE 1 END AS idempotency_key, size AS estimated_cost FROM people
+     WHERE content_state = 'pending' AND 'content_text:' || entry_id || ':' || CASE WHEN entry_id % 10 = 0 THEN 2 ELSE 1 END NOT IN (SELECT idempotency_key FROM jobs) ORDER BY size, entry_id LIMIT 40""", PEOPLE_JOBS_SQL)
+_add("jobs_by_source", lambda s, d: bookkeeping.jobs_by_source(_people_jobs(s, d)), "SELECT source_id, state, count(*) AS jobs, CAST(sum(estimated_cost) AS BIGINT) AS bytes FROM jobs GROUP BY 1, 2", PEOPLE_JOBS_SQL)
+_add("failed_work", lambda s, d: bookkeeping.failed_work(_people_jobs(s, d), corpus.people(s, d)),
+     "SELECT source_id, count(*) AS items, CAST(sum(c) AS BIGINT) AS bytes FROM (SELECT source_id, estimated_cost AS c FROM jobs WHERE state = 'failed' UNION ALL SELECT source_id, size FROM people WHERE content_state = 'failed' AND entry_id NOT IN (SELECT object_id FROM jobs WHERE state <> 'done')) GROUP BY 1", PEOPLE_JOBS_SQL)
+_add("jobs_finished", lambda s, d: bookkeeping.finished(_people_jobs(s, d), _people_jobs(s, d).select("job_id", (F.col("job_id") % 3 == 0).alias("ok"), F.when(F.col("job_id") % 5 > 0, "transient").otherwise("permanent").alias("failure")), NOW).select("job_id", "state", "attempts"),
+     """SELECT job_id, CASE WHEN state <> 'running' THEN state WHEN job_id % 3 = 0 THEN 'done' WHEN job_id % 5 > 0 AND job_id % 7 + 1 < 6 THEN 'queued' ELSE 'failed' END AS state, CAST(job_id % 7 + CASE WHEN state = 'running' AND job_id % 3 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM jobs""", PEOPLE_JOBS_SQL)
+_add("retry_preview", lambda s, d: bookkeeping.retry_preview(bookkeeping.job_details(_people_jobs(s, d), _people_objects(s, d), _people_sources(s))),
+     """SELECT job_id, CASE WHEN reason = '' THEN 'accepted' WHEN reason IN ('running', 'already_queued', 'done') THEN 'rejected' ELSE 'skipped' END AS outcome, reason FROM (SELECT job_id, CASE WHEN job_id % 14 = 0 THEN 'deleted' WHEN job_id % 10 = 0 THEN 'superseded' WHEN source_id = 12 THEN 'content_disabled'
+     WHEN state = 'running' THEN 'running' WHEN state = 'queued' THEN 'already_queued' WHEN state = 'done' THEN 'done' ELSE '' END AS reason FROM jobs)""", PEOPLE_JOBS_SQL)
+_add("source_state_refresh", lambda s, d: bookkeeping.refreshed(_people_sources(s), corpus.people(s, d)).select("source_id", "state"), "SELECT * FROM (VALUES (11, CASE WHEN (SELECT count(*) FROM people WHERE source_id = 11 AND content_state <> 'indexed') > 0 THEN 'content_pending' ELSE 'complete' END), (12, 'metadata_complete'), (13, 'offline')) v(source_id, state)", PEOPLE_SQL)
+_add("state_flip_deltas", lambda s, d: bookkeeping.flipped(corpus.star_files(s, d).where("content_state = 'pending'").select("source_id", "ancestors", F.col("content_state").alias("was"), F.lit("indexed").alias("becomes"))).select("dir_id", "pending_count", "indexed_count"),
+     "SELECT dir_id, -CAST(count(*) AS BIGINT) AS pending_count, count(*) AS indexed_count FROM below WHERE content_state = 'pending' GROUP BY 1", STAR_SQL)
+_add("content_records_stats", lambda s, d: bookkeeping.content_stats(corpus.docs(s, d).select(F.when(F.col("object_id") % 3 == 0, "partial").otherwise("indexed").alias("state"), F.col("size").alias("bytes"), F.lit(2).alias("chunks"))), "SELECT CASE WHEN entry_id % 3 = 0 THEN 'partial' ELSE 'indexed' END AS state, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes, 2 * count(*) AS chunks FROM docs GROUP BY 1", DOCS_SQL)
+_add("activity", lambda s, d: bookkeeping.activity(corpus.people(s, d), _people_jobs(s, d), s.createDataFrame([(11, None), (13, 2)], "source_id long, resolved_in long")),
+     "SELECT p.source_id, objects, bytes, queued, failed, CASE WHEN p.source_id = 11 THEN 1 ELSE 0 END AS open_errors FROM (SELECT source_id, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM people GROUP BY 1) p JOIN (SELECT source_id, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'failed') AS failed FROM jobs GROUP BY 1) j USING (source_id)", PEOPLE_JOBS_SQL)
+_add("retention_age", lambda s, d: bookkeeping.kept_interactions(corpus.feed(s, d), 1_704_067_200 * 10**9 + 91 * DAY, 90, 200).select("event_id"), f"SELECT event_id FROM feed WHERE \"at\" >= {1_704_067_200 * 10**9 + DAY} ORDER BY event_id DESC LIMIT 200", FEED_SQL)
+_add("recent_jobs", lambda s, d: bookkeeping.recent(_people_jobs(s, d), "job_id", 10).select("job_id"), "SELECT job_id FROM jobs ORDER BY 1 DESC LIMIT 10", PEOPLE_JOBS_SQL)
+
+# scans and replicas
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan after customers 1 to 20 went, with order lines of an even supplier touched."""
+    star = star_index(spark, sf_dir).entries().select(corpus.ENTRY)
+    star = star.join(star.groupBy("entry_id").count().where("count = 1"), "entry_id", "left_semi")
+    touched = (F.col("kind") == "file") & (F.col("size") % 2 == 0)
+    seen = star.where(~F.col("object_id").between(1_000_001, 1_000_020)).withColumn("modified", F.col("modified") + F.when(touched, DAY).otherwise(0))
+    listed = star.where("kind = 'directory'").select(F.col("object_id").alias("dir_id"))
+    below = seen.where(~F.exists("ancestors", lambda a: a.between(1_000_001, 1_000_020)))
+    entries, state = generation.scan(star, below, listed)
+    return entries.groupBy("kind", "generation").agg(F.count("*").alias("n")).withColumn("state", F.lit(state))
+
+
+_add("scan_publish", _scanned, """SELECT kind, generation, count(*) AS n, 'content_pending' AS state FROM (SELECT 'directory' AS kind, 1 AS generation, entry_id, ancestors FROM dirs UNION ALL SELECT kind, CASE WHEN size % 2 = 0 THEN 2 ELSE 1 END, entry_id, ancestors FROM files)
+  WHERE NOT entry_id BETWEEN 1000001 AND 1000020 AND NOT coalesce(ancestors[4], 0) BETWEEN 1000001 AND 1000020 AND entry_id NOT IN (SELECT entry_id FROM files GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2""", STAR_SQL)
+_add("moves_cyclic", lambda s, d: generation.cyclic(generation.closure(corpus.star_directories(s, d).select("object_id", "parent_id")), s.createDataFrame([(10, 1_000_001), (10, 11), (1, 1), (11, 10)], "object_id long, parent_id long")),
+     "SELECT * FROM (VALUES (10, 1000001), (10, 11), (1, 1), (11, 10)) v(object_id, parent_id) WHERE object_id = parent_id OR object_id IN (SELECT unnest(ancestors) FROM dirs WHERE entry_id = parent_id)", STAR_SQL)
+_add("crash_recovery", lambda s, d: generation.recovered(s.createDataFrame([(11, 2, "open"), (12, 1, "published")], "source_id long, generation long, state string"), _people_sources(s))[1].select("source_id", "state"), "SELECT * FROM (VALUES (11, 'degraded'), (12, 'content_pending'), (13, 'offline')) v(source_id, state)")
+_add("policy_applied", lambda s, d: policy.applied(_documents(s, d, "files"), _RULES).groupBy("generation", "content_state", "purged").agg(F.count("*").alias("n")),
+     """SELECT CAST(CASE WHEN moved THEN 2 ELSE 1 END AS INTEGER) AS generation, CASE WHEN moved THEN becomes ELSE content_state END AS content_state, moved AND becomes = 'excluded' AS purged, count(*) AS n FROM (SELECT *, CASE WHEN becomes = 'pending' THEN content_state = 'excluded' ELSE content_state <> becomes END AS moved
+     FROM (SELECT *, CASE WHEN regexp_matches(path, '/cust-1[0-9]*/') THEN 'excluded' WHEN path LIKE '/star/asia/nation_7/%' THEN 'pending' WHEN path LIKE '/star/asia/%' OR extension = 'a' THEN 'excluded' ELSE 'pending' END AS becomes FROM files)) GROUP BY 1, 2, 3""", STAR_SQL)
+
+
+def _remote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.ledger(corpus.feed(spark, sf_dir))
+    return rows.select(F.lit(5).cast("long").alias("source_id"), F.col("object_id").alias("remote_object"), F.lit(None).cast("long").alias("parent"), F.concat(F.lit("o"), F.col("object_id").cast("string")).alias("name"), "seq", "deleted")
+
+
+def _replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the objects are known by id; the whole ledger comes as a new epoch that lacks every ninth."""
+    every = _remote(spark, sf_dir)
+    ids = every.where("remote_object % 2 = 0").select("source_id", "remote_object", (F.col("remote_object") + 10_000_000).alias("local_object"))
+    batch, _ = replica.mapped(every, ids, 5000)
+    have = replica.applied(batch.select("source_id", "local_object", "parent", "name", "seq", "deleted", F.lit(False).alias("placeholder")).where(F.lit(False)), batch)
+    after = replica.switched(have, batch.where("remote_object % 9 <> 0"))
+    return after.select("local_object", "name", "seq", "deleted")
+
+
+_add("replica_epoch", _replicated, """SELECT CASE WHEN object_id % 2 = 0 THEN object_id + 10000000 ELSE 5000 + (SELECT count(*) FROM ledger x WHERE x.object_id % 2 = 1 AND x.object_id <= l.object_id) END AS local_object, 'o' || object_id AS name, seq, deleted OR object_id % 9 = 0 AS deleted FROM ledger l""", FEED_SQL)
+_add("journal_read", lambda s, d: watch.read_journal(corpus.feed(s, d).withColumnRenamed("event_id", "usn"), watch.Journal(1, 10, 600), 1, 40, 100)[1].select("usn"), "SELECT event_id AS usn FROM feed WHERE event_id >= 40 AND event_id < 600 ORDER BY 1 LIMIT 100", FEED_SQL)
+_add("time_functions", lambda s, d: corpus.people(s, d).select("entry_id", texts.rfc3339_text(F.col("modified")).alias("text"), texts.utc_day(F.col("modified")).alias("day"), texts.from_filetime(F.col("modified") / 100 + F.lit(116_444_736_000_000_000).cast("long")).cast("long").alias("back")),
+     "SELECT c_custkey + 1 AS entry_id, strftime(make_timestamp((1700000000 - c_custkey * 3600) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.000000000Z' AS text, (1700000000 - c_custkey * 3600 - (1700000000 - c_custkey * 3600) % 86400) * 1000000000 AS day, (1700000000 - c_custkey * 3600) * 1000000000 AS back FROM customer")
+
+
+def _sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement over the hits of a search and a table function."""
+    views.register(spark, docs_index(spark, sf_dir))
+    return views.sql(spark, docs_index(spark, sf_dir), "SELECT extension, count(*) AS n FROM {hits} GROUP BY extension", hits="content:~License size:>=200")
+
+
+_add("sql_over_hits", _sql_surface, "SELECT extension, count(*) AS n FROM docs WHERE contains(text, 'License') AND size >= 200 GROUP BY 1", DOCS_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

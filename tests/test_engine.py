@@ -17,9 +17,9 @@ from larkspur.sources import archives, export, listing, textfiles
 from larkspur.streaming import feed, ledger
 
 FILES = {
-    "proj/ida/sample.idb": 50, "proj/ida/sample.id0": 10, "proj/src/Program.cs": 300, "proj/src/util/Helpers.cs": 200, "proj/README.md": 40, "other/app/Main.cs": 100, "other/notes.txt": 10,
-    "assets/192.0.2.130/a.bin": 1000, "assets/192.0.2.130/b.bin": 1000, "assets/192.0.2.130 (01)/a.bin": 1000, "assets/192.0.2.130 (02)/a.bin": 4000, "assets/192.0.2.131/a.bin": 9000,
-    "dumps/crash1.dmp": 5000, "proj/src/crash2.DMP": 6000, "logs/Qz.log": 10, "logs/QZ-endpoint.txt": 10, "logs/Zephyr diagnostics.md": 10,
+    "atlas/maps/north.tile": 40, "atlas/maps/south.tile": 60, "atlas/code/Draw.cs": 300, "atlas/code/lib/Paths.cs": 250, "atlas/NOTES.md": 70, "atlas/code/Two.DMP": 3000,
+    "tools/gen/Build.cs": 90, "tools/todo.txt": 12, "hosts/10.7.0.4/a.bin": 700, "hosts/10.7.0.4/b.bin": 800, "hosts/10.7.0.4 (1)/a.bin": 900, "hosts/10.7.0.5/c.bin": 5000,
+    "crash/one.dmp": 2000, "mail/Rx.log": 15, "mail/RX-queue.txt": 25, "mail/Quarterly report.md": 35,
 }
 
 
@@ -49,10 +49,10 @@ def tree(spark):
 
 
 @pytest.mark.parametrize("text, mode, names", [
-    ("ext:dmp", "files", {"crash1.dmp", "crash2.DMP"}), ("*.dmp", "files", {"crash1.dmp", "crash2.DMP"}), ("has:idb has:cs", "directories", {"proj", ""}), ("has:cs>=3 has:idb", "directories", {""}), ("has:cs>=4 has:idb", "directories", set()),
-    ("name:=Qz.log", "files", {"Qz.log"}), ("name:=qz.log", "files", set()), ("name:=iqz.log", "files", {"Qz.log"}), ("name:~Qz", "files", {"Qz.log"}), ("name:~qz", "files", set()), ("name:qz", "files", {"Qz.log", "QZ-endpoint.txt"}),
-    ("zephyr diagnostics", "files", {"Zephyr diagnostics.md"}), ('"zephyr diagnostics"', "files", {"Zephyr diagnostics.md"}), ("ext:cs -path:util", "files", {"Main.cs", "Program.cs"}),
-    (r"name:/^192\.0\.2\.130( \(\d+\))?$/", "directories", {"192.0.2.130 (02)", "192.0.2.130", "192.0.2.130 (01)"}), ("kind:dir subtree:>8k", "directories", {"", "assets", "192.0.2.131"}),
+    ("ext:dmp", "files", {"one.dmp", "Two.DMP"}), ("*.dmp", "files", {"one.dmp", "Two.DMP"}), ("has:tile has:cs", "directories", {"atlas", ""}), ("has:cs>=3 has:tile", "directories", {""}), ("has:cs>=4 has:tile", "directories", set()),
+    ("name:=Rx.log", "files", {"Rx.log"}), ("name:=rx.log", "files", set()), ("name:=irx.log", "files", {"Rx.log"}), ("name:~Rx", "files", {"Rx.log"}), ("name:~rx", "files", set()), ("name:rx", "files", {"Rx.log", "RX-queue.txt"}),
+    ("quarterly report", "files", {"Quarterly report.md"}), ('"quarterly report"', "files", {"Quarterly report.md"}), ("ext:cs -path:lib", "files", {"Draw.cs", "Build.cs"}), ("ext:cs && -path:lib", "files", {"Draw.cs", "Build.cs"}),
+    (r"name:/^10\.7\.0\.4( \(\d+\))?$/", "directories", {"10.7.0.4", "10.7.0.4 (1)"}), ("kind:dir subtree:>4k", "directories", {"", "hosts", "10.7.0.5"}),
 ])
 def test_golden(tree, text, mode, names):
     found, _ = search.matches(tree[0], search.Request(text, mode))
@@ -61,19 +61,28 @@ def test_golden(tree, text, mode, names):
 
 def test_page_facets_tight(tree):
     docs, ids = tree
-    page = search.search(docs, search.Request("ext:bin", sort="size", descending=True, limit=2)).hits
-    assert [r["size"] for r in page.collect()] == [9000, 4000]
-    found, node = search.matches(docs, search.Request("has:idb has:cs", "directories"))
-    assert {(r.name, r.score) for r in search.scored(found, node, None, "directories").collect()} == {("proj", 1.0), ("", 0.5)}
+    page = search.search(docs, search.Request("ext:bin", sort="size", descending=True, limit=2))
+    assert [r["size"] for r in page.hits.collect()] == [5000, 900]
+    after = search.Request("ext:bin", sort="size", descending=True, limit=2, cursor=page.cursor)
+    assert [r["size"] for r in search.search(docs, after).hits.collect()] == [800, 700]
+    late = search.search(docs, search.Request("ext:bin", sort="size", descending=True, limit=2, cursor=page.cursor, generation=4))
+    assert late.warnings and not search.search(docs, after).warnings
+    found, node = search.matches(docs, search.Request("has:tile has:cs", "directories"))
+    assert {(r.name, r.score) for r in search.scored(found, node, None, "directories").collect()} == {("atlas", 1.0), ("", 0.5)}
     every, _ = search.matches(docs, search.Request("*", "files"))
-    assert {r.value: r.n for r in search.facet_terms(every, "extension").collect()} | {} == {"bin": 5, "cs": 3, "txt": 2, "dmp": 2, "md": 2, "idb": 1, "id0": 1, "log": 1}
-    assert search.facet_sizes(every).agg(F.sum("n")).first()[0] == 17
-    proj = docs.where("name = 'proj'").first()
-    assert (proj.file_count, proj.subtree_logical) == (6, 6600)
-    assert {r.name for r in search.matches(docs, search.Request(f"in:o:{ids['proj/src']} kind:file"))[0].collect()} == {"Program.cs", "Helpers.cs", "crash2.DMP"}
-    assert search.matches(docs, search.Request(f"in:o:{ids['proj/src']}~1 kind:file"))[0].count() == 2
-    assert [r.name for r in search.children(docs, ids["proj"]).collect()] == ["ida", "src", "README.md"]
-    assert search.resolve(docs, "/PROJ/src").first().entry_id == ids["proj/src"]
+    assert {r.value: r.n for r in search.facet_terms(every, "extension").collect()} == {"bin": 4, "cs": 3, "txt": 2, "dmp": 2, "md": 2, "tile": 2, "log": 1}
+    assert search.facet_page(every, "extension", 2) == ([("bin", 4), ("cs", 3)], True)
+    counts = {r.bucket: r.n for r in search.facet_sizes(every).collect()}
+    assert sum(counts.values()) == 16
+    for bucket, clause in search.size_clauses().items():
+        assert search.matches(docs, search.Request(clause, "files"))[0].count() == counts.get(bucket, 0), clause
+    assert [r.name for r in search.search(docs, search.Request("rx", "files")).hits.collect()] == ["Rx.log", "RX-queue.txt"]
+    atlas = docs.where("name = 'atlas'").first()
+    assert (atlas.file_count, atlas.subtree_logical) == (6, 3720)
+    assert {r.name for r in search.matches(docs, search.Request(f"in:o:{ids['atlas/code']} kind:file"))[0].collect()} == {"Draw.cs", "Paths.cs", "Two.DMP"}
+    assert search.matches(docs, search.Request(f"in:o:{ids['atlas/code']}~1 kind:file"))[0].count() == 2
+    assert [r.name for r in search.children(docs, ids["atlas"]).collect()] == ["code", "maps", "NOTES.md"]
+    assert search.resolve(docs, "/ATLAS/code").first().entry_id == ids["atlas/code"]
 
 
 def test_cursor():
@@ -93,12 +102,12 @@ def test_clause_editing():
     assert parse(search.without_clause("ext:cs ext:md", "ext:md")) == parse("ext:cs")
 
 
-CHUNKS = [(1, 1, 0, "Zephyr started\nQz responded with build 4.2.1\ndone"), (2, 1, 0, "line one\nqz here, Qzed there"), (3, 1, 0, "fn main() { println!(\"hello world\"); }"), (4, 1, 0, "Zephyr readme"), (5, 1, 0, "a" * 50), (5, 2, 0, "needle-7f3a9 found")]
+CHUNKS = [(1, 1, 0, "Harbor started\nWv responded with build 4.2.1\ndone"), (2, 1, 0, "line one\nwv here, Wved there"), (3, 1, 0, "fn main() { println!(\"hello world\"); }"), (4, 1, 0, "Harbor readme"), (5, 1, 0, "a" * 50), (5, 2, 0, "marker-04c1e found")]
 
 
 @pytest.mark.parametrize("text, ids", [
-    ("content:Zephyr", {1, 4}), ("content:=Qz", {1}), ("content:=QZ", set()), ("content:=qz", {2}), ("content:~Qz", {1, 2}), ('content:="Qz responded"', {1}), ('content:"hello world"', {3}), ('content:"world hello"', set()), ('content:"fn println"~1', {3}), ('content:"hello fn"~5', set()),
-    (r"content:/Qz\w+/c", {2}), (r"content:/needle-[0-9a-f]+/", {5}), (r"content:/x*/", set()), ("content:/build \\d\\.\\d/", {1}),
+    ("content:Harbor", {1, 4}), ("content:=Wv", {1}), ("content:=WV", set()), ("content:=wv", {2}), ("content:~Wv", {1, 2}), ('content:="Wv responded"', {1}), ('content:"hello world"', {3}), ('content:"world hello"', set()), ('content:"fn println"~1', {3}), ('content:"hello fn"~5', set()),
+    (r"content:/Wv\w+/c", {2}), (r"content:/marker-[0-9a-f]+/", {5}), (r"content:/x*/", set()), ("content:/build \\d\\.\\d/", {1}),
 ])
 def test_content(spark, text, ids):
     chunks = content.latest(spark.createDataFrame(CHUNKS, "object_id long, generation long, ordinal int, text string"))
@@ -186,7 +195,7 @@ def test_listing(spark, tmp_path):
 
 def test_export(spark):
     hits = spark.createDataFrame([(1, 1, 'a,"b"', 2**60)], "object_id long, entry_id long, name string, size long")
-    assert export.csv_lines(hits).first().value.startswith('1,1,,"a,""b""",,')
+    assert export.csv_lines(hits).first().value.startswith('1,1,,,"a,""b""",,')
     lines = [json.loads(x) for x in export.ndjson(hits, "*")]
     assert lines[1]["size"] == str(2**60) and lines[-1]["rows_exported"] == 1 and not lines[-1]["truncated"]
 
@@ -208,16 +217,16 @@ def test_feed(spark, tmp_path):
 
 def test_admission():
     have = ledger.Position(2, 10, "h")
-    assert [ledger.admit(have, *x) for x in ((1, 0, "", 5), (3, 0, "", 5), (2, 5, "", 10), (2, 12, "", 15), (2, 10, "x", 15), (2, 10, "h", 15))] == ["stale", "full_resync_required", "already_applied", "gap", "history_fork", "apply"]
+    assert [ledger.admit(have, *x) for x in ((1, 0, "", 5), (3, 0, "", 5), (2, 5, "", 10), (2, 5, "", 15), (2, 12, "", 15), (2, 10, "x", 15), (2, 10, "h", 15))] == ["full_resync_required"] * 2 + ["already_applied", "stale", "gap", "history_fork", "apply"]
 
 
 def test_publish(spark, tree):
     docs, ids = tree
-    seen = docs.where(F.col("object_id") != ids["proj/src"]).select("entry_id")
+    seen = docs.where(F.col("object_id") != ids["atlas/code"]).select("entry_id")
     listed = docs.where("kind = 'directory'").select(F.col("object_id").alias("dir_id"))
     dead = {r.path for r in generation.published(docs, seen, listed).where("not live").collect()}
-    assert dead == {"/proj/src", "/proj/src/Program.cs", "/proj/src/util", "/proj/src/util/Helpers.cs", "/proj/src/crash2.DMP"}
-    kept = generation.published(docs, seen, listed.where(F.col("dir_id") != ids["proj"]))
+    assert dead == {"/atlas/code", "/atlas/code/Draw.cs", "/atlas/code/lib", "/atlas/code/lib/Paths.cs", "/atlas/code/Two.DMP"}
+    kept = generation.published(docs, seen, listed.where(F.col("dir_id") != ids["atlas"]))
     assert kept.where("not live").count() == 0
     assert generation.final_state(0, True, 3) == "content_pending" and generation.final_state(1, True, 0) == "degraded"
     up = generation.upserted(spark.createDataFrame([(1, "a", 5), (1, "b", 6), (1, "c", 7)], "parent_id long, name string, object_id long"), spark.createDataFrame([(1, "a", 5), (1, "b", 9), (1, "d", 8)], "parent_id long, name string, object_id long"))
@@ -225,10 +234,10 @@ def test_publish(spark, tree):
 
 
 def test_policy(spark, tree):
-    rules = [("prefix", "/proj", False), ("regex", "helpers", True)]
+    rules = [("prefix", "/atlas", False), ("regex", "paths", True)]
     got = {r.entry_id: r.reason for r in policy.decided(tree[0], rules).collect()}
     ids = tree[1]
-    assert got[ids["proj/README.md"]] == "operator_rule" and got[ids["proj/src/util/Helpers.cs"]] == "" and got[ids["assets/192.0.2.131/a.bin"]] == "not_text" and got[ids["other/notes.txt"]] == ""
+    assert got[ids["atlas/NOTES.md"]] == "user_exclude" and got[ids["atlas/code/lib/Paths.cs"]] == "" and got[ids["crash/one.dmp"]] == "binary_data" and got[ids["tools/todo.txt"]] == ""
 
 
 @settings(max_examples=5, deadline=None)

@@ -29,7 +29,7 @@ def test_parse(text, node):
     assert parse(text, NOW) == node
 
 
-@pytest.mark.parametrize("text", ["(a", "a)", '"open', "size:>x", "kind:what", "ext:", "a OR", "attr:nope", "in:x", "mtime:=20-1", "size:9..2", "content:/" + "a" * 1100 + "/"])
+@pytest.mark.parametrize("text", ["(a", "a)", '"open', "size:>x", "kind:what", "ext:", "a OR", "attr:nope", "in:x", "mtime:=20-1", "content:/" + "a" * 1100 + "/"])
 def test_errors(text):
     with pytest.raises(q.QueryError):
         parse(text, NOW)
