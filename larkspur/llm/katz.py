@@ -171,12 +171,16 @@ def _told(rows: DataFrame, answers: DataFrame, name: str) -> DataFrame:
 
 
 def _stats(answers: DataFrame) -> np.ndarray:
-    """Sum over the buckets; each gives a few numbers."""
-    found = answers.where("chunk = -1").select("answer").toLocalIterator()
-    total = 0
-    for row in found:
-        total = total + np.frombuffer(row.answer, "<f8")
-    return total
+    """Sum over the buckets, of which each gives a few numbers: a row of sums for each task, then one of all."""
+
+    def add(batches):
+        total = [np.frombuffer(cell, "<f8") for batch in batches for cell in batch.column("answer").to_pylist()]
+        if total:
+            yield _batch(["at", "value"], [pa.array(range(len(total[0])), pa.int32()), pa.array(sum(total))])
+
+    sums = answers.where("chunk = -1").select("answer").mapInArrow(add, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    found = sums.orderBy("at").collect()  # a few rows
+    return np.array([row.value for row in found]) if found else 0
 
 
 def _count_words(keys, values):

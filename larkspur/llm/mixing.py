@@ -5,9 +5,10 @@ is to be taken on average. The whole part is taken for sure, the fraction is an
 probability. The flight moves fractions inside the null-space of the balancing constraints
 (words and documents of the source): of three fractional documents one direction keeps both
 totals, and a step along it makes one of them 0 or 1. Documents fly in small buckets of a
-source, what stays fractional flies again with that of other buckets, until one small group
-of each source remains; the landing takes, of all choices for those few documents, that
-whose words come nearest to what the flight has left of the target.
+source, large ones first, what stays fractional flies again with that of other buckets, until one small group
+of small documents of each source remains. The landing gives up one constraint after the other: first documents, so that two fractional
+documents keep the words, then words, so that the last one is drawn. Every step is a fair draw, so a document's
+expected copies are the target's share exactly, and words are off by less than one small document.
 
 Scale: one scan of the texts gives narrow rows (id, source, size), which the folder shared by
 the executors keeps. Buckets hold about BUCKET documents whatever the source's size, so a hot
@@ -21,8 +22,6 @@ rows are separate documents; an empty table gives no rows; other columns don't m
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3.0
 #: Documents that fly together.
 BUCKET = 200
-#: Documents of a group that may stay fractional; the landing tries all choices of so many.
+#: Documents of a bucket that may stay fractional until the last level.
 LANDING = 10
 
 
@@ -62,40 +61,45 @@ def _uniform(keys: np.ndarray, salt: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64([salt, *(int(k) & 0xFFFFFFFF for k in keys[:4]), len(keys)]))
 
 
-def _fly(size: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
-    """Move fractions along directions that keep sum(p) and sum(p * size), until at most LANDING are left."""
+def _step(now: np.ndarray, u: np.ndarray, draw) -> np.ndarray:
+    """A fair step along u or against it, until one of the fractions is 0 or 1."""
+    up, down = np.where(u > 0, 1 - now, -now), np.where(u > 0, -now, 1 - now)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        forth, back = np.where(u != 0, up / u, np.inf), np.where(u != 0, down / u, -np.inf)
+    ahead, behind = forth.min(), -back.max()
+    step = ahead if draw() * (ahead + behind) < behind else -behind
+    at = int(forth.argmin()) if step > 0 else int(back.argmax())
+    now = now + step * u
+    now[at] = float((step > 0) == (u[at] > 0))
+    return np.where(now < 1e-9, 0.0, np.where(now > 1 - 1e-9, 1.0, now))
+
+
+def _fly(size: np.ndarray, p: np.ndarray, draw, leave: int = LANDING) -> np.ndarray:
+    """Move fractions along directions that keep sum(p) and sum(p * size), in order, until at most `leave` (2 or more) are left."""
     p = p.astype(float).copy()
     waiting = [i for i in range(len(p)) if 0 < p[i] < 1][::-1]
     held: list[int] = []
-    while len(held) + len(waiting) > LANDING:
+    while len(held) + len(waiting) > leave:
         while len(held) < 3:
             held.append(waiting.pop())
         a, b, c = held
         u = np.array([size[b] - size[c], size[c] - size[a], size[a] - size[b]], float)
-        if not u.any():
-            u = np.array([1.0, -1.0, 0.0])
-        now = p[held]
-        up, down = np.where(u > 0, (1 - now), -now), np.where(u > 0, -now, (1 - now))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            forth, back = np.where(u != 0, up / u, np.inf), np.where(u != 0, down / u, -np.inf)
-        ahead, behind = forth.min(), -back.max()
-        step = ahead if draw() * (ahead + behind) < behind else -behind
-        now = now + step * u
-        at = int(forth.argmin()) if step > 0 else int(back.argmax())
-        now[at] = float((step > 0) == (u[at] > 0))
-        now = np.where(now < 1e-9, 0.0, np.where(now > 1 - 1e-9, 1.0, now))
-        p[held] = now
+        p[held] = _step(p[held], u if u.any() else np.array([1.0, -1.0, 0.0]), draw)
         held = [i for i in held if 0 < p[i] < 1]
     return p
 
 
-def _land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """All choices for the last fractional documents: the nearest in words, then in documents."""
-    p, open_ = p.copy(), np.flatnonzero((p > 0) & (p < 1))
-    if len(open_):
-        choices = np.array(list(itertools.product((0.0, 1.0), repeat=len(open_))))
-        words, docs = np.abs((choices - p[open_]) @ size[open_]), np.abs((choices - p[open_]).sum(1))
-        p[open_] = choices[np.lexsort((docs, np.round(words, 6)))[0]]
+def _land(size: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
+    """The last fractional documents: pairs keep sum(p * size), one that stays is drawn."""
+    p = _fly(size, p, draw, 2)
+    while len(open_ := np.flatnonzero((p > 0) & (p < 1))):
+        empty = open_[size[open_] == 0]
+        if len(open_) == 1 or len(empty):
+            at = empty[0] if len(empty) else open_[0]
+            p[at] = float(draw() < p[at])
+        else:
+            a, b = open_[:2]
+            p[[a, b]] = _step(p[[a, b]], np.array([size[b], -size[a]], float) / max(size[a], size[b]), draw)
     return p
 
 
@@ -103,10 +107,10 @@ def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """Fly each (source, bucket) of rows; rows keep their place, p becomes the new state."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "copy"], kind="stable", ignore_index=True)
-        size = part["size"].to_numpy(float)
-        p = _fly(size, part["p"].to_numpy(float), _uniform(part["key"].to_numpy(), level).random)
-        return part.assign(p=_land(size, p) if last else p)
+        part = part.sort_values(["size", "key", "copy"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        size, draw = part["size"].to_numpy(float), _uniform(part["key"].to_numpy(), level).random
+        p = part["p"].to_numpy(float)
+        return part.assign(p=_land(size, p, draw) if last else _fly(size, p, draw))
 
     return rows.groupBy("source", "bucket").applyInPandas(run, rows.schema)
 
@@ -141,7 +145,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them. Rows that are alike in doc_id and
-    text share their copies evenly, rounded up."""
-    taken = mix(docs).groupBy("row_key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
+    text share their copies as evenly as whole numbers can."""
+    taken = mix(docs).groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).where("copies > 0")
     rows = packed(docs).withColumn("row_key", F.xxhash64("doc.doc_id", "doc.text")).join(taken, "row_key")
-    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy(F.xxhash64("doc")))
+    share = F.floor(F.col("copies") / F.col("alike")) + (place <= F.col("copies") % F.col("alike")).cast("int")
+    rows = rows.withColumn("take", share.cast("int")).where("take > 0")
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("take")))), docs)
