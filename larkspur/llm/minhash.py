@@ -166,33 +166,37 @@ def _across(rest: DataFrame, signed: DataFrame, sets_of) -> DataFrame:
         node, comp, size, mine = (part[c].to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
         i, j, cell = part["i"].iloc[0], part["j"].iloc[0], part["cell"].iloc[0]
         here = int((band_keys(sig[0]) == cell).argmax())
-        found = []
+        a, b, agree = [], [], []
         for x in np.flatnonzero(mine == i):
             ok = (comp != comp[x]) & (node > node[x] if i == j else mine == j) & (size * 100 >= size[x] * LEAST_PERCENT) & (size[x] * 100 >= size * LEAST_PERCENT)
             ys = np.flatnonzero(ok)
             same = sig[ys] == sig[x]
             share, first = same.mean(1), same.reshape(len(ys), BANDS, ROWS).all(2).argmax(1)
             near = (share >= SIGNATURE_LEAST) & (first == here)
-            if near.any():
-                found.append((node[x], node[ys[near]].tobytes(), share[near].astype("<f4").tobytes()))
-        return pd.DataFrame(found, columns=["a", "bs", "agree"]).assign(cell=cell, i=i, j=j)
+            a.append(np.full(near.sum(), node[x]))
+            b.append(node[ys[near]])
+            agree.append(share[near])
+        a, b, agree = (np.concatenate(x) if x else np.zeros(0) for x in (a, b, agree))
+        # one row for a block, with its pairs packed
+        out = pd.DataFrame({"cell": [cell], "i": [i], "j": [j], "a": [a.astype("<i8").tobytes()], "b": [b.astype("<i8").tobytes()], "agree": [agree.astype("<f4").tobytes()]})
+        return out if len(a) else out[:0]
 
-    near = durable(rest.groupBy("cell", "i", "j").applyInPandas(alike, "a long, bs binary, agree binary, cell long, i int, j int"))
+    near = durable(rest.groupBy("cell", "i", "j").applyInPandas(alike, "cell long, i int, j int, a binary, b binary, agree binary"))
 
     def nodes(batches):
+        """The different nodes of a block's pairs."""
         for batch in batches:
             for k in range(batch.num_rows):
-                both = np.append(np.frombuffer(batch.column("bs")[k].as_py(), "<i8"), batch.column("a")[k].as_py())
+                both = np.unique(np.frombuffer(batch.column("a")[k].as_py() + batch.column("b")[k].as_py(), "<i8"))
                 cell = [pa.array(np.full(len(both), batch.column(c)[k].as_py()), t) for c, t in (("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*cell, pa.array(both)], ["cell", "i", "j", "node"])
 
-    asked = durable(near.mapInArrow(nodes, "cell long, i int, j int, node long").distinct())
+    asked = durable(near.mapInArrow(nodes, "cell long, i int, j int, node long"))
     full = asked.join(sets_of(asked.select("node").distinct()), "node")
 
     def confirmed(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         have = {n: np.frombuffer(x, "<u8") for n, x in zip(sets["node"], sets["shingle_set"])}
-        a = np.repeat(pairs["a"].to_numpy("i8"), [len(x) // 8 for x in pairs["bs"]])
-        b, agree = np.frombuffer(b"".join(pairs["bs"]), "<i8"), np.frombuffer(b"".join(pairs["agree"]), "<f4")
+        a, b, agree = (np.frombuffer(b"".join(pairs[c]), t) for c, t in (("a", "<i8"), ("b", "<i8"), ("agree", "<f4")))
         forest, found = Forest(), []
         for k in np.lexsort((b, a, -agree)):  # the likeliest links first, so that the others are mostly connected by then
             x, y = int(a[k]), int(b[k])
