@@ -126,8 +126,14 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull() | (outer == 0), 0).otherwise((outer - 1) * step + inner)
 
 
-def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprints and likenesses of each text, its edited text and the next document's."""
+def _key(spots: bytes) -> int:
+    """64 bits that stand for a fingerprint among those of one doc_id."""
+    return int.from_bytes(hashlib.blake2b(spots, digest_size=8).digest(), "little", signed=True)
+
+
+def compare_neighbours(docs: DataFrame, classed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, fingerprints and likenesses of each text, its edited text and the next document's. classed: (doc_id, key, class_id) of
+    documents whose class is not their own; its narrow rows are dealt and sorted with the texts, just before theirs, which gives class_id without a join of texts."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low, high, chars = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
     ranges = min(MOST_RANGES, max(1, math.ceil((chars or 0) / RANGE_CHARS)))
@@ -138,32 +144,42 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     own, carried, first = (F.struct(r.cast("int").alias("range"), F.lit(part).alias("part")) for r, part in ((F.col("range"), 1), (F.col("range") - 1, 0), (F.lit(0), 2)))
     lowest = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.greatest(F.col("range"), F.lit(1))) if bounds else F.lit(None).cast("long")
     places = F.array(own, F.when((F.col("range") > 0) & (F.col("doc_id") == lowest), carried), F.when(F.col("doc_id").eqNullSafe(F.lit(high).cast("long")), first))
-    placed = placed.withColumn("to", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("doc_id", "text", "to.range", "to.part")
-    placed = placed.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "part", F.desc_nulls_last("doc_id"), "text")
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    none = F.lit(None).cast("long")
+    placed = placed.withColumn("to", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("doc_id", "text", "to.range", "to.part", none.alias("key"), none.alias("class_id"))
+    if classed is not None:
+        marks = classed.withColumn("range", _range_of(F.col("doc_id"), bounds).cast("int"))
+        lower = marks.where((F.col("range") > 0) & (F.col("doc_id") == lowest)).withColumn("range", F.col("range") - 1)
+        marks = marks.withColumn("part", F.lit(1)).unionByName(lower.withColumn("part", F.lit(0)))
+        placed = placed.unionByName(marks.select("doc_id", F.lit(None).cast("string").alias("text"), "range", "part", "key", "class_id"))
+    # marks have no text, so they stand before the texts of their id
+    placed = placed.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "part", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches):
-        words, waiting, here = Words(), None, None
+        words, waiting, here, marks = Words(), None, None, {}
         for batch in batches:
             out = []
-            for range_, part, doc_id, text in zip(*(each(batch.column(c)) for c in ("range", "part", "doc_id", "text"))):
+            for range_, part, doc_id, text, key, class_id in zip(*(each(batch.column(c)) for c in ("range", "part", "doc_id", "text", "key", "class_id"))):
                 if range_ != here:  # what still waits is carried to the range below
                     here, waiting = range_, None
+                if text is None:
+                    marks = {doc_id: {**marks.get(doc_id, {}), key: class_id}}
+                    continue
                 if part == 2 and waiting is None:
                     continue
                 own = words.fingerprint(text)
                 if part and waiting is not None:
-                    before_id, before, fp = waiting
+                    before_id, before, fp, class_ = waiting
                     k = len(before) // 3
                     changed = before[: len(before) - k] + text[:k]
                     edited = words.fingerprint(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before_id, len(before), digest, coded(fp), coded(edited), likeness(fp, edited), likeness(fp, own)))
-                waiting = None if part == 2 else (doc_id, text, own)
+                    out.append((before_id, len(before), digest, coded(fp), coded(edited), likeness(fp, edited), likeness(fp, own), class_))
+                waiting = None if part == 2 else (doc_id, text, own, marks[doc_id].get(_key(own.tobytes()), doc_id) if doc_id in marks else doc_id)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], columns)
 
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
 def _slot(spots: np.ndarray) -> np.ndarray:
@@ -205,9 +221,23 @@ def _cells(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("node", "spots").mapInArrow(run, "cell long, node long")
 
 
-def classes(found: DataFrame, least: float = LEAST) -> DataFrame:
-    """fingerprint, class_id: the smallest doc_id of all fingerprints that links of at least this likeness connect with it. found: doc_id, fingerprint (coded, not empty)."""
-    sets = found.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).select("fingerprint", "rep", F.unbase64("fingerprint").alias("spots"), F.monotonically_increasing_id().alias("node"))
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id, spots (the fingerprint's bytes), key of documents with words."""
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            spots = [words.fingerprint(t or "").tobytes() for t in each(batch.column("text"))]
+            full = pa.array([bool(x) for x in spots], pa.bool_())
+            columns = [batch.column("doc_id"), pa.array(spots, pa.binary()), pa.array([_key(x) for x in spots], pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], ["doc_id", "spots", "key"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spots binary, key long")
+
+
+def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, key, class_id of documents with words: the smallest doc_id that links of at least this likeness connect with it."""
+    sets = fingerprinted(docs).groupBy("spots").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.count("*").alias("m")).withColumn("node", F.monotonically_increasing_id())
     sets = durable(sets)
     sized = sets.select("node", (F.octet_length("spots") / 4).cast("int").alias("n"))
 
@@ -253,13 +283,15 @@ def classes(found: DataFrame, least: float = LEAST) -> DataFrame:
         return rest.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long")
 
     comps = linked_in_cells(shared_cells(_cells(sets, least)), confirm, across)
-    grouped = sets.join(comps, "node", "left").select("fingerprint", "rep", F.coalesce("comp", "node").alias("comp"))
+    grouped = sets.select("node", "rep", "key", "m").join(comps, "node", "left").select("key", "rep", "m", F.col("comp").isNotNull().alias("linked"), F.coalesce("comp", "node").alias("comp"))
     lowest = grouped.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    return grouped.join(lowest, "comp").select("fingerprint", "class_id")
+    # of most fingerprints there is one, without links
+    shared = grouped.where("linked or m > 1").join(lowest, "comp").select("key", "class_id")
+    ids = fingerprinted(docs).select("doc_id", "key")
+    return ids.join(shared, "key").distinct()
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """compare_neighbours() with class_id: the smallest doc_id of the document's class (its own if its set is empty)."""
-    rows = durable(compare_neighbours(docs))
-    known = classes(rows.where("fingerprint <> ''").select("doc_id", "fingerprint")).withColumnRenamed("fingerprint", "_f")
-    return rows.join(known, F.col("fingerprint") == F.col("_f"), "left").select(*rows.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
+    known = durable(classes(docs).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))))
+    return compare_neighbours(docs, known)
