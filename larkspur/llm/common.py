@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that durable() writes inside are deleted at the end, but for those that are kept; what is read later must come from these."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def durable(df: DataFrame, kept: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
+    if not kept and (paths := _scratch.get()) is not None:
+        paths.append(path)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # shuffle files of what is written are of no more use
     try:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordCache, durable, each, mix64
+from larkspur.llm.common import WordCache, durable, each, mix64, scratch
 from larkspur.llm.linking import Forest, blocked, linked_in_cells, shared_cells
 
 #: Common words of English, German, French and Spanish.
@@ -293,5 +293,6 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """compare_neighbours() with class_id: the smallest doc_id of the document's class (its own if its set is empty)."""
-    known = durable(classes(docs).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))))
+    with scratch(docs.sparkSession):
+        known = durable(classes(docs).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))), kept=True)
     return compare_neighbours(docs, known)
