@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, minhash, mixing, pii, quality
-from larkspur.llm.common import durable, table
+from larkspur.llm.common import durable, scratch, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage writes on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), kept=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
