@@ -6,9 +6,9 @@ probability. The flight moves fractions inside the null-space of the balancing c
 (words and documents of the source): of three fractional documents one direction keeps both
 totals, and a step along it makes one of them 0 or 1. Documents fly in small buckets of a
 source, large ones first, what stays fractional flies again with that of other buckets, until one small group
-of small documents of each source remains. The landing gives up one constraint after the other: first documents, so that two fractional
-documents keep the words, then words, so that the last one is drawn. Every step is a fair draw, so a document's
-expected copies are the target's share exactly, and words are off by less than one small document.
+of mostly small documents of each source remains; the landing takes, of all choices for those few documents, that
+whose words come nearest to what the flight has left of the target. It is not random: a landing that draws fairly was tried and left
+sources further from their targets.
 
 Scale: one scan of the texts gives narrow rows (id, source, size), which the folder shared by
 the executors keeps. Buckets hold about BUCKET documents whatever the source's size, so a hot
@@ -22,6 +22,8 @@ rows are separate documents; an empty table gives no rows; other columns don't m
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -90,16 +92,13 @@ def _fly(size: np.ndarray, p: np.ndarray, draw, leave: int = LANDING) -> np.ndar
 
 
 def _land(size: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
-    """The last fractional documents: pairs keep sum(p * size), one that stays is drawn."""
-    p = _fly(size, p, draw, 2)
-    while len(open_ := np.flatnonzero((p > 0) & (p < 1))):
-        empty = open_[size[open_] == 0]
-        if len(open_) == 1 or len(empty):
-            at = empty[0] if len(empty) else open_[0]
-            p[at] = float(draw() < p[at])
-        else:
-            a, b = open_[:2]
-            p[[a, b]] = _step(p[[a, b]], np.array([size[b], -size[a]], float) / max(size[a], size[b]), draw)
+    """All choices for the last fractional documents: the nearest in words, then in documents."""
+    p = _fly(size, p, draw)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_):
+        choices = np.array(list(itertools.product((0.0, 1.0), repeat=len(open_))))
+        words, docs = np.abs((choices - p[open_]) @ size[open_]), np.abs((choices - p[open_]).sum(1))
+        p[open_] = choices[np.lexsort((docs, np.round(words, 6)))[0]]
     return p
 
 

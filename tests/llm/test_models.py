@@ -55,15 +55,6 @@ def test_flight_keeps_totals():
     assert abs(q.sum() - p.sum()) < 1e-6 and abs(q @ size - p @ size) < 1e-4 and ((q > 0) & (q < 1)).sum() <= mixing.LANDING
 
 
-def test_landing_is_fair():
-    """Expected copies are the fractions, also of what lands; words are off by less than a small document."""
-    rng = np.random.default_rng(5)
-    size, p = np.sort(rng.integers(0, 90, 9).astype(float))[::-1], rng.random(9)
-    drawn = np.array([mixing._land(size, p, rng.random) for _ in range(6000)])
-    assert set(np.unique(drawn)) <= {0.0, 1.0} and np.abs(drawn.mean(0) - p).max() < 0.03
-    assert np.abs(drawn @ size - p @ size).max() <= size.max()
-
-
 def test_mixing_lumpy(docs_of):
     """Sources with giants: words and documents of each source come near their targets."""
     rng = random.Random(2)
