@@ -5,8 +5,8 @@ is to be taken on average. The whole part is taken for sure, the fraction is an
 probability. The flight moves fractions inside the null-space of the balancing constraints
 (words and documents of the source): of three fractional documents one direction keeps both
 totals, and a step along it makes one of them 0 or 1. Documents fly in small buckets of a
-source, large ones first, what stays fractional flies again with that of other buckets, until one small group
-of mostly small documents of each source remains; the landing takes, of all choices for those few documents, that
+source, what stays fractional flies again with that of other buckets, until one small group
+of documents of each source remains; the landing takes, of all choices for those few documents, that
 whose words come nearest to what the flight has left of the target. It is not random: a landing that draws fairly was tried and left
 sources further from their targets.
 
@@ -106,7 +106,7 @@ def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """Fly each (source, bucket) of rows; rows keep their place, p becomes the new state."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "key", "copy"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        part = part.sort_values(["key", "copy"], kind="stable", ignore_index=True)
         size, draw = part["size"].to_numpy(float), _uniform(part["key"].to_numpy(), level).random
         p = part["p"].to_numpy(float)
         return part.assign(p=_land(size, p, draw) if last else _fly(size, p, draw))
