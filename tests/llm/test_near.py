@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,37 @@ def test_spot_classes(docs_of, monkeypatch, small, block):
         assert got[ids[k]].near_next == like(sets[k], sets[after]) and got[ids[k]].near_edited == like(sets[k], edited)
 
 
+def test_spot_sketches():
+    """Sketches rule out no pair that may be linked, and most others."""
+    rng, kept, ruled = np.random.default_rng(4), 0, 0
+    for n in (1, 2, 5, 20, 31, 33, 200, 3000):
+        base = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        sets = [np.unique(np.concatenate([base[: n - k], rng.integers(0, 1 << 32, more, dtype=np.uint32)])) for k in range(0, n, max(1, n // 12)) for more in (0, n // 9, n // 3, n)]
+        size, rows = np.array([len(s) for s in sets]), spotsigs.folded([spotsigs.sketch(s) for s in sets])
+        for x in range(len(sets)):
+            may = spotsigs.may_link(size, rows, x, 0.75)
+            for y in range(len(sets)):
+                near = spotsigs.likeness(sets[x], sets[y]) >= 0.75
+                assert may[y] or not near
+                kept, ruled = kept + bool(may[y] and not near), ruled + (not may[y])
+    assert ruled > 5 * kept
+
+
+def test_spot_sets_sent(docs_of, monkeypatch):
+    """Texts are fingerprinted once for the classes; of texts that share signatures but are too unlike, blocks get no sets."""
+    rng, calls, asked = random.Random(6), [], []
+    fingerprinted, linked = spotsigs.fingerprinted, spotsigs._linked
+    monkeypatch.setattr(spotsigs, "fingerprinted", lambda docs: calls.append(1) or fingerprinted(docs))
+    monkeypatch.setattr(spotsigs, "_linked", lambda blocks, least: asked.append(blocks.count()) or linked(blocks, least))
+    word = lambda: rng.choice(["the", f"w{rng.randrange(10**6)}", f"v{rng.randrange(10**6)}"])
+    rows = []
+    for g in range(8):
+        passage = [word() for _ in range(800)]
+        rows += [(10 * g + i, " ".join([*passage, *(word() for _ in range(240))]), "a") for i in range(5)]
+    assert all(r.class_id == r.doc_id for r in spotsigs.classes(docs_of(rows)).collect())
+    assert len(calls) == 1 and asked == [0]
+
+
 def test_spot_classes_odd(docs_of, odd):
     got = sorted(((r.doc_id, r.class_id) for r in spotsigs.compared(docs_of(odd)).collect()), key=repr)
     assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, 4), (None, None), (5, 5), (6, 5), (7, 7), (8, 8)], key=repr)
