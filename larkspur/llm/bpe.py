@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from larkspur.llm.common import each
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points below this are split by the same pattern with their classes written out, which Python's own engine runs faster.
+LATIN = 0x250
 #: The trie, the cache of words and that of token pairs are emptied at these sizes.
 MAX_NODES = 150_000
 MAX_WORDS = 120_000
@@ -36,6 +40,12 @@ LONGEST_KEPT = 64
 BLOCK_CHARS = 500_000
 
 
+def _latin_pattern() -> str:
+    """PATTERN for texts of code points below LATIN."""
+    letters, numbers, blanks = ("".join(f"\\u{i:04x}" for i in range(LATIN) if regex.match(kind, chr(i))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -69,17 +79,28 @@ class TrieBpe:
             if token not in self.parts:
                 self.rank[token], self.parts[token] = rank, (self.id_of[left], self.id_of[right])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find_words = regex.compile(PATTERN).findall
-        self.endings = {t[i:] for t in self.id_of for i in range(len(t))}
+        self.find_any, self.find_latin = regex.compile(PATTERN).findall, re.compile(_latin_pattern()).findall
+        self.beyond_latin = re.compile(f"[^\x00-{chr(LATIN - 1)}]").search
         self.apart: dict[int, bool] = {}
         #: Tokens that merging their own bytes doesn't give; none may end a prefix.
         self.whole = {i: False for i in self.parts if not self.stay_apart_whole(i)}
+        #: Ends of tokens, with the token that is all of it, if it may end a prefix.
+        self.endings = {t[i:]: -1 for t in self.id_of for i in range(len(t))}
+        self.endings |= {t: i for t, i in self.id_of.items() if self.whole.get(i, True)}
+        self.length = {i: len(t) for i, t in self.bytes_of.items()}
+        #: Words since the caches last changed places, and those before.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
         self.state = [-1]
+        self.restart()
+
+    def restart(self) -> None:
+        """The word before, its prefixes' last tokens and nodes."""
+        self.before, self.path, self.nodes = b"", [-1], [0]
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Undo the later merge of the two again and again; they stay apart unless a pair across the border would have merged before."""
@@ -117,51 +138,76 @@ class TrieBpe:
         return ids
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Walk the trie, giving new nodes their last token; then read the states backwards."""
+        """Walk the trie from where the word before it branches off, giving new nodes their last token; then read the states backwards."""
         kept = len(word) <= LONGEST_KEPT
         if kept and len(self.state) + len(word) > MAX_NODES:
             self.reset()
-        child, state, id_of, endings, apart = self.child, self.state, self.id_of, self.endings, self.apart
-        node, path = 0, [-1]
-        for end in range(1, len(word) + 1):
+        child, state, endings, apart, path, nodes = self.child, self.state, self.endings, self.apart, self.path, self.nodes
+        common = 0
+        for x, y in zip(word, self.before):
+            if x != y:
+                break
+            common += 1
+        del path[common + 1 :], nodes[common + 1 :]
+        node = nodes[-1]
+        for end in range(common + 1, len(word) + 1):
             key = node << 8 | word[end - 1]
             token = state[node] if (node := child.get(key, 0)) and kept else -1
             if token < 0:
-                start = end - 1
-                while start >= 0 and (tail := word[start:end]) in endings:
-                    if (found := id_of.get(tail)) is not None and self.whole.get(found, True):
+                for start in range(end - 1, -1, -1):
+                    if (found := endings.get(word[start:end])) is None:
+                        break
+                    if found >= 0:
                         if not start:
                             token = found
                         elif (fits := apart.get(path[start] << 24 | found)) or fits is None and self.stay_apart(path[start], found):
                             token = found
                             break
-                    start -= 1
                 if kept:
                     node = child[key] = len(state)
                     state.append(token)
             path.append(token)
-        ids, end = [], len(word)
+            nodes.append(node)
+        self.before = word
+        if not kept:
+            self.restart()
+        ids, end, length = [], len(word), self.length
         while end:
             ids.append(path[end])
-            end -= len(self.bytes_of[path[end]])
+            end -= length[path[end]]
         return ids[::-1]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; those that aren't kept are in the result only."""
-        if len(self.words) + len(words) > MAX_WORDS:
-            self.words.clear()
-        once = {}
-        for word in sorted(words - self.words.keys()):
+        """Ids of words. Those of the cache before are kept if they are asked for again."""
+        known = {}
+        for word in words:
+            if (ids := self.words.get(word)) is not None:
+                known[word] = ids
+            elif (ids := self.older.get(word)) is not None:
+                known[word] = ids
+                self.keep(word, ids)
+        for word in sorted(words - known.keys()):
             data = word.encode("utf-8", "replace")
-            (self.words if len(data) <= LONGEST_KEPT else once)[word] = np.array(self.encode_word(data), "<u4").tobytes()
-        return once
+            known[word] = ids = array("I", self.encode_word(data)).tobytes()
+            if len(data) <= LONGEST_KEPT:
+                self.keep(word, ids)
+        return known
+
+    def keep(self, word: str, ids: bytes) -> None:
+        """Both caches together hold MAX_WORDS at most."""
+        if len(self.words) >= max(1, MAX_WORDS // 2):
+            self.words, self.older = {}, self.words
+        self.words[word] = ids
 
     def forget(self) -> None:
         """Empty the caches."""
-        self.words.clear()
+        self.words, self.older = {}, {}
         self.apart.clear()
         self.reset()
 
+    def find_words(self, text: str) -> list[str]:
+        return self.find_any(text) if self.beyond_latin(text) else self.find_latin(text)
+
     def pieces(self, text: str) -> list[tuple[bytes, list[str]]]:
         """(ids of a special token or nothing, words) in order."""
         if not self.split_special or not any(s in text for s in self.special):
@@ -172,8 +218,7 @@ class TrieBpe:
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        once, words_ = self.learn({w for doc in split for _, words in doc for w in words}), self.words
-        get = (lambda w: once[w] if w in once else words_[w]) if once else words_.__getitem__
+        get = self.learn({w for doc in split for _, words in doc for w in words}).__getitem__
         return [b"".join(special or b"".join(map(get, words)) for special, words in doc) for doc in split]
 
     def decode(self, ids: bytes) -> str:

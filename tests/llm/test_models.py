@@ -327,6 +327,30 @@ def test_bpe_small_caches(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_block(words)] == [coder.by_merges(w.encode()) for w in words]
 
 
+def test_bpe_keeps_what_recurs(monkeypatch):
+    """Words that every block asks for are encoded once, though others fill the caches; these stay within their size."""
+    coder, encoded = bpe.TrieBpe(open(bpe.default_vocabulary(), encoding="utf-8").read()), []
+    monkeypatch.setattr(bpe, "MAX_WORDS", 40)
+    encode = coder.encode_word
+    monkeypatch.setattr(coder, "encode_word", lambda word: encoded.append(word) or encode(word))
+    for i in range(30):
+        text = f"the same words again and q{'z' * (i % 5)}x{'abcdefghijklmnopqrstuvwxyzabcdefgh'[i : i + 4]} {'once' * 30}{'abcdefghijklmnopqrstuvwxyzabcdefgh'[i]}"
+        ids = np.frombuffer(coder.encode_block([text])[0], "<u4").tolist()
+        assert ids == [t for w in coder.find_words(text) for t in coder.by_merges(w.encode())]
+        assert len(coder.words) + len(coder.older) <= 40
+    assert encoded.count(b" same") == encoded.count(b"the") == 1
+
+
+def test_bpe_latin_words():
+    """Texts of Latin code points are split as the family's pattern splits them."""
+    coder, rng = bpe.TrieBpe(open(bpe.default_vocabulary(), encoding="utf-8").read()), random.Random(8)
+    some = ["'", "s", "re", "ll", " ", "  ", "\n", "\r\n", "\x85", "\xa0", "\x1c", "\0", "1", "²", "½", "é", "ª", "×", "_", "-", "A", "ɏ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) if rng.random() < 0.8 else chr(rng.randrange(bpe.LATIN)) for _ in range(rng.randrange(30)))
+        assert coder.find_latin(text) == coder.find_any(text) == coder.find_words(text)
+    assert coder.find_words("a\u3000漢 b") == coder.find_any("a\u3000漢 b")
+
+
 def test_pipeline(spark, small):
     """Stage by stage: what each keeps and changes."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
