@@ -92,14 +92,15 @@ def _round(cells: DataFrame, quota: int, shards: int, number: int) -> DataFrame:
     order = Window.partitionBy("link").orderBy(F.desc(F.col("here") + F.col("room") >= share), F.desc("here"), F.xxhash64("link", "shard"))
     homes = near.withColumn("home", F.row_number().over(order) - 1).where(F.col("home") < F.ceil(F.col("group_n") / F.lit(float(quota))))
     homes = homes.select("link", F.col("home").cast("int").alias("home"), F.col("shard").alias("to"))
-    n_homes = homes.groupBy("link").agg(F.count("*").alias("homes"))
+    # the round's number comes as a value: as a literal it would make new code of every later stage in each round, which the driver compiles and holds
+    n_homes = homes.groupBy("link").agg(F.count("*").alias("homes"), F.max(F.lit(number)).alias("turn"))
     # who is in a home stays; others try the homes in turn, each round another one
     at_home = homes.select("link", F.col("to").alias("shard"), F.lit(True).alias("at_home"))
     wish = cells.join(at_home, ["link", "shard"], "left")
-    movers = wish.where("at_home is null").join(n_homes, "link").withColumn("home", F.pmod(F.col("lane") + F.lit(number), F.col("homes")).cast("int")).join(homes, ["link", "home"])
+    movers = wish.where("at_home is null").join(n_homes, "link").withColumn("home", F.pmod(F.col("lane") + F.col("turn"), F.col("homes")).cast("int")).join(homes, ["link", "home"])
     # admission against the whole room, large gains first; what stands before a row comes from sums of its gain, its lot and a window inside the lot
     lots = F.lit(max(1, quota // LOT))
-    movers = movers.withColumn("lot", F.pmod(F.xxhash64("link", F.lit(number)), lots).cast("int")).withColumn("part", (F.col("lane") / LOT_LANES).cast("int"))
+    movers = movers.withColumn("lot", F.pmod(F.xxhash64("link", "turn"), lots).cast("int")).withColumn("part", (F.col("lane") / LOT_LANES).cast("int"))
     sums = movers.groupBy("to", "n", "lot", "part").agg(F.sum("n").alias("all"))
     gains = sums.groupBy("to", "n").agg(F.sum("all").alias("of_n"))
     gains = gains.withColumn("larger", F.sum("of_n").over(Window.partitionBy("to").orderBy(F.desc("n"))) - F.col("of_n")).drop("of_n")

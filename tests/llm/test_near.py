@@ -227,6 +227,14 @@ def test_sharding(docs_of, odd):
     assert (null["size"], null.text_crc32) == (16, 0)
 
 
+def test_sharding_rounds_share_code(spark):
+    """A round's number is in one line of its plan, so later stages are compiled once for all rounds."""
+    cells = spark.createDataFrame([(bytes([i % 7]), 0, i % 4, 5, 60, 1) for i in range(40)], "link binary, lane int, shard int, n long, group_n long, lanes int")
+    plans = [re.sub(r"#\d+L?", "", sharding._round(cells, 60, 4, n)._jdf.queryExecution().optimizedPlan().toString()).splitlines() for n in (3, 8)]
+    differ = [a for a, b in zip(*plans) if a != b]
+    assert len(plans[0]) == len(plans[1]) and differ and all("AS turn" in line for line in differ)
+
+
 def test_sharding_many_rows(spark):
     """A group of a quarter of many rows gets whole, and small groups do too, however many lots admission has."""
     key = F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 3, F.lit("hot")).when(F.col("id") % 5 == 0, F.concat(F.lit("g"), F.floor(F.col("id") / 20).cast("string"))).otherwise(F.col("id").cast("string"))
