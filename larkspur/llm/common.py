@@ -10,6 +10,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim(spark: SparkSession) -> str:
+    """Give back native memory that the driver's JVM has freed (of its compilers and codecs), which the C library else
+    keeps: some 200 MB after many queries. What the JVM says of it; empty if this JVM can't."""
+    jvm = spark._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # through the interface, as the server's own class is closed to py4j
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(server, call)
+    except Py4JError:
+        return ""
+
+
 def durable(df: DataFrame, kept: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
@@ -56,6 +72,7 @@ def durable(df: DataFrame, kept: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

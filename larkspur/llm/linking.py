@@ -29,25 +29,32 @@ def shared_cells(every: DataFrame) -> DataFrame:
     return every.join(shared, "cell")
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each node of edges (u, v), u > v, has smaller neighbours or greater ones, and of smaller ones just one."""
+    both = edges.union(edges.select("v", "u"))
+    ends = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return not ends.where("low < u and low <> high").agg(F.count("*")).first()[0]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, after a large star and a small star."""
+    # large star: greater neighbours move to the smallest of the neighbourhood
+    low = edges.union(edges.select("v", "u")).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    greater = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    moved = greater.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # small star: smaller neighbours and the node itself, for which the smallest one's row stands, move to the smallest
+    moved = moved.join(moved.groupBy("u").agg(F.min("v").alias("m")), "u")
+    # without repeated pairs, which would gather at nodes that many share
+    return moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for all nodes with a link."""
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        # large star: greater neighbours move to the smallest of the neighbourhood
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: smaller neighbours and the node itself move to the smallest
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(low, "u")
-        edges = durable(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots))
+    while not _starred(edges):
+        edges = durable(_contracted(edges))
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v"))
+    return durable(ends.distinct())
 
 
 def _untried(cells: DataFrame, comps: DataFrame) -> DataFrame:

@@ -196,12 +196,13 @@ def discovered(found: DataFrame) -> DataFrame:
     labels = seeds = durable(seen.where("kind is not null").select("value", "kind").distinct())
     scores = None
     for number in range(ROUNDS):
-        # patterns that hold neither seeds nor accepted instances can't be reached
-        support = graph.join(labels, "value").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"), F.first("instances").alias("instances"))
-        gained = support.where(F.col("seeds") >= SUPPORT).withColumn("sum", F.col("seeds").cast("double"))
+        # a value is either accepted or scored; no pair of pattern, value and kind comes twice
+        known = labels.withColumn("score", F.lit(None).cast("double"))
         if scores is not None:
-            own = graph.join(scores.where(F.col("score") < CONFIDENT), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("own"))
-            gained = gained.join(own, ["pattern", "kind"], "left").withColumn("sum", F.col("sum") + F.coalesce("own", F.lit(0.0)))
+            known = known.unionByName(scores.where(F.col("score") < CONFIDENT))
+        # patterns that hold neither seeds nor accepted instances can't be reached
+        support = graph.join(known, "value").groupBy("pattern", "kind").agg(F.count_if(F.col("score").isNull()).alias("seeds"), F.sum("score").alias("own"), F.first("instances").alias("instances"))
+        gained = support.where(F.col("seeds") >= SUPPORT).withColumn("sum", F.col("seeds") + F.coalesce("own", F.lit(0.0)))
         patterns = gained.select("pattern", "kind", (F.col("sum") / (F.col("instances") + 1)).alias("confidence")).where(F.col("confidence") >= PATTERN_LEAST)
         asked = graph.join(labels.select("value").distinct(), "value", "left_anti")
         reached = asked.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))).alias("score"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import linking, minhash, sharding, spotsigs
+from larkspur.llm import common, linking, minhash, sharding, spotsigs
 
 
 def sets_of(text):
@@ -83,6 +83,60 @@ def test_minhash_odd(docs_of, odd):
     assert minhash.deduplicated(docs_of(odd)).where("doc_id = 4").count() == 1
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Plans of the tables that operators write on their way."""
+    from larkspur.llm import pii
+
+    plans = []
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.durable(df, *args)
+
+    for module in (linking, pii):
+        monkeypatch.setattr(module, "durable", noted)
+    return plans
+
+
+def shuffles(plans):
+    return sum(len(re.findall(r"\bExchange hashpartitioning", p)) for p in plans)
+
+
+def test_components(spark, written):
+    """Chains, hubs, negative ids, loops and repeated links; stars are left as they are, and a round takes few shuffles."""
+    rng = random.Random(2)
+    cases = [[], [(3, 3)], [(1, 2), (2, 1), (1, 2)], [(i, i + 1) for i in range(60)], [(1000, 2000 + i) for i in range(30)] + [(i, 2000 + i) for i in range(30)]]
+    cases += [[(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(90)]]
+    for links in cases:
+        want = {n: n for pair in links if pair[0] != pair[1] for n in pair}
+        for _ in want:
+            for a, b in links:
+                want |= {n: min(want[a], want[b]) for n in (a, b) if a != b}
+        got = linking.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted(want.items())
+    written.clear()
+    stars = [(0, i) for i in range(1, 40)] + [(100, i) for i in range(101, 140)]
+    linking.components(spark.createDataFrame(stars, "a long, b long"))
+    assert len(written) == 2
+    written.clear()
+    linking.components(spark.createDataFrame([*stars, (39, 101)], "a long, b long"))
+    assert shuffles(written) <= 10
+
+
+def test_pii_shuffles(docs_of, written):
+    """Tables of pii.find() take few shuffles: a round joins the graph with seeds and scores at once."""
+    from larkspur.llm import pii
+
+    pii.find(docs_of([(1, "mail a@b.co", "a")]))
+    assert shuffles(written) <= 17
+
+
+def test_trim(spark):
+    """The driver's JVM gives back native memory, also when a table is written."""
+    assert "rim native heap" in common.trim(spark)
+
+
 def test_spotsigs(docs_of, odd):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "of", "der", "lorem", "ipsum", f"w{rng.randrange(99)}"]) for _ in range(rng.randrange(0, 90))), "a") for i in range(1, 300, 3)]
