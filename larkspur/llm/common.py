@@ -19,6 +19,9 @@ from larkspur.storage import shared_dir
 #: Java regular expression of one word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Row groups of rows with large cells: a writer holds one, and a reader takes thousands of rows of one at once.
+_LARGE_CELLS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "8"}
 #: A worker's word cache is emptied at this size and keeps no longer words, so its memory is bounded.
 CACHE_WORDS = 100_000
 LONGEST_CACHED = 64
@@ -60,18 +63,23 @@ def trim(spark: SparkSession) -> str:
         return ""
 
 
-def durable(df: DataFrame, kept: bool = False) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+def durable(df: DataFrame, kept: bool = False, batch: int = 0) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back. batch, for rows with large cells: so many at once go to
+    Python, as a batch lies in the JVM's native memory twice, in buffers that grow by doubling; and row groups are small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
     if not kept and (paths := _scratch.get()) is not None:
         paths.append(path)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # shuffle files of what is written are of no more use
+    # shuffle files of what is written are of no more use
+    held = {_CLEAN: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key, default) for key, default in ((_CLEAN, "false"), (_BATCH, "10000")) if key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**_LARGE_CELLS if batch else {}).option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 

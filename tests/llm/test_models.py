@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,33 @@ def test_katz(docs_of, odd, monkeypatch, chunk, bucket):
         assert math.isclose(sum(p(h, w) for w in c) + p(h, b"never seen"), 1, rel_tol=1e-9)
 
 
+def test_katz_cells(docs_of, monkeypatch):
+    """Chunks are rows of bounded size, as rows of whole chunks fill an executor's memory; scores stay those of whole chunks."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 160_000)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.getrandbits(40 if rng.random() < 0.7 else 6):x}" for _ in range(4000)), "a") for i in range(80)]
+    docs = docs_of(rows).coalesce(1)
+    cells = katz.chunked(docs, F.lit(True))
+    widest = cells.agg(*(F.max(F.octet_length(c)) for c, kind in cells.dtypes if kind == "binary")).first()
+    assert max(widest) <= 1 << 18
+    assert {r.kind for r in cells.where("piece > 0").select("kind").distinct().collect()} >= {"words", "tokens"} and cells.select("chunk").distinct().count() == 2
+    _, tokens, c, base, p, total = katz_by_hand(rows)
+    got = {r.doc_id: r for r in katz.score(docs, crc_mod(F.col("doc_id"), 7) != 2).collect()}
+    assert len(got) == len(rows)
+    for (i, *_), t in zip(rows, tokens):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), total)
+        assert math.isclose(got[i].base_score, sum(math.log10(base(w)) for w in t), rel_tol=1e-9)
+        assert math.isclose(got[i].score, sum(math.log10(p(*x)) for x in zip([b"", *t], t)), rel_tol=1e-9)
+
+
+def test_durable_batch(spark):
+    """Python gets no more rows at once than asked for, and the session's own number holds again afterwards."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    before = spark.conf.get(key)
+    got = [r.n for r in durable(spark.range(1000).mapInArrow(most, "n long"), batch=16).collect()]
+    assert sum(got) == 1000 and max(got) <= 16 and spark.conf.get(key) == before
+
+
 def test_katz_empty(docs_of):
     assert katz.score(docs_of([]), F.lit(True)).count() == 0
     r = katz.score(docs_of([(1, "a b", "x")]), F.lit(False)).first()
