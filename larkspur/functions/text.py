@@ -34,10 +34,9 @@ def query_tokens(text: str) -> list[str]:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct windows of three characters of the folded text."""
-    t = F.lower(text)
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(F.length(t) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    """Distinct windows of three characters of the folded text. The expression looks ahead at each character, so the text is gone through
+    once; a substring would count its characters from the start for each window."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))."), F.lit(1))), F.array().cast("array<string>"))
 
 
 def extension_of(name: Column) -> Column:
