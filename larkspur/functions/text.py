@@ -73,21 +73,17 @@ def phrase_key(found: Column) -> Column:
 
 
 def in_order_within(found: Column, words: list[str], slop: int) -> Column:
-    """Whether the words occur in this order with at most `slop` other tokens in between, all gaps together."""
-    starts = F.filter(F.transform(found, lambda t, i: F.when(t == words[0], i)), lambda i: i.isNotNull())
+    """Whether the words occur in this order with at most `slop` other tokens in between, all gaps together. One pass over the tokens: for each
+    number of words, the last place from which so many are found in order; a later start leaves fewer tokens in between."""
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("hit"), *(none.alias(f"s{j}") for j in range(len(words))))
 
-    def follow(start: Column) -> Column:
-        at = start
-        for w in words[1:]:
-            later = F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-            at = F.array_min(F.transform(F.filter(later, _after(w, at)), lambda x: x["i"]))
-        return at - start - (len(words) - 1)
+    def step(at: Column, t: Column) -> Column:
+        first = [F.when(t == w, at["i"] if j == 0 else at[f"s{j - 1}"]).otherwise(at[f"s{j}"]) for j, w in enumerate(words)]
+        ends = (t == words[-1]) & F.coalesce(at["i"] - (at["i"] if len(words) == 1 else at[f"s{len(words) - 2}"]) - (len(words) - 1) <= slop, F.lit(False))
+        return F.struct((at["i"] + 1).alias("i"), (at["hit"] | ends).alias("hit"), *(s.alias(f"s{j}") for j, s in enumerate(first)))
 
-    return F.exists(starts, lambda s: F.coalesce(follow(s) <= slop, F.lit(False)))
-
-
-def _after(word: str, at: Column):
-    return lambda x: (x["t"] == word) & (x["i"] > at)
+    return F.aggregate(found, start, step, lambda at: at["hit"])
 
 
 def fnv1a(data: bytes) -> int:

@@ -18,3 +18,13 @@ def test_trigrams_of_a_long_text(spark):
     assert sorted(got[0]) == sorted({long[i : i + 3] for i in range(len(long) - 2)})
     assert got[1] == got[2] == [] and got[3] == ["a\nb", "\nb😀", "b😀c"]
 
+
+def test_proximity_in_a_text_of_one_word(spark):
+    """Every token is a start; each start took a pass over all tokens."""
+    rows = spark.createDataFrame([(0, ["the"] * 4000 + ["x", "x", "of"]), (1, ["the"] * 4000 + ["x", "of"]), (2, ["of", "the"]), (3, ["the", "of", "x", "the", "end"])], "k int, found array<string>").repartition(1)
+    near = lambda words, slop: sorted(r.k for r in rows.where(texts.in_order_within(F.col("found"), words, slop)).collect())
+    began = time.perf_counter()
+    assert near(["the", "of"], 1) == [1, 3] and near(["the", "of"], 2) == [0, 1, 3]
+    assert near(["the", "the", "end"], 1) == [] and near(["the", "the", "end"], 2) == [3] and near(["the", "the", "of"], 1) == [1]
+    assert time.perf_counter() - began < 15
+
