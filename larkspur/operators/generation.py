@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.storage import stored
+
 
 def matched(listing: DataFrame, objects: DataFrame) -> DataFrame:
     """listing with object_id: by native id, else by (parent, name); null is new."""
@@ -75,20 +76,17 @@ def final_state(errors: int, content_enabled: bool, unfinished: int, root_listed
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """object_id, ancestors (root first) of a forest (object_id, parent_id): a recursive query in SQL, with a guard against cycles."""
-    # a session of its own, so that the limits of recursion and the view are no one else's
-    name = f"edges_{uuid.uuid4().hex}"
-    spark = edges.sparkSession.newSession()
-    for k, v in (("spark.sql.cteRecursionLevelLimit", "1024"), ("spark.sql.cteRecursionRowLimit", "-1"), ("spark.sql.shuffle.partitions", edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
-        spark.conf.set(k, v)
-    edges.createOrReplaceGlobalTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(object_id, ancestors) AS (
-            SELECT object_id, CAST(array() AS array<bigint>) FROM global_temp.{name} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT e.object_id, concat(u.ancestors, array(u.object_id)) FROM global_temp.{name} e JOIN up u ON e.parent_id = u.object_id
-            WHERE NOT array_contains(u.ancestors, e.object_id) AND e.object_id <> u.object_id)
-        SELECT object_id, ancestors FROM up""")
+    """object_id, ancestors (root first) of a forest (object_id, parent_id), level by level from the roots, with a guard against cycles. A recursive query in
+    SQL has a limit of rows, which the session sets in which it is run. Levels are written to the shared folder, so each is made once."""
+    edges = stored(edges.select("object_id", "parent_id"))
+    below = edges.where(F.col("parent_id").isNotNull())
+    level = stored(edges.where(F.col("parent_id").isNull()).select("object_id", F.array().cast("array<bigint>").alias("ancestors")))
+    levels = [level]
+    while level.head(1):
+        above = level.select(F.col("object_id").alias("parent_id"), F.concat("ancestors", F.array("object_id")).alias("ancestors"))
+        level = stored(below.join(above, "parent_id").where(~F.array_contains("ancestors", F.col("object_id"))).select("object_id", "ancestors"))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def orphans(objects: DataFrame) -> DataFrame:

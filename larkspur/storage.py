@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read back, so that what uses them more than once makes them once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/larkspur/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Manifest:
     """Numbered states of a table or a feed in a folder: state n + 1 can be written once, so of two writers that know state n only one goes on."""
 

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as texts
+from larkspur.operators import generation
 
 
 def test_trigrams_of_a_long_text(spark):
@@ -28,3 +29,17 @@ def test_proximity_in_a_text_of_one_word(spark):
     assert near(["the", "the", "end"], 1) == [] and near(["the", "the", "end"], 2) == [3] and near(["the", "the", "of"], 1) == [1]
     assert time.perf_counter() - began < 15
 
+
+def test_closure_has_no_limit_of_rows(spark):
+    """A recursive query stopped at the row limit of the session that ran it, once the closure was joined with other tables."""
+    edges = spark.createDataFrame([(1, None), *((k, k // 2) for k in range(2, 40)), (100, 101), (101, 100), (102, 102), (103, 999)], "object_id long, parent_id long")
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        above = generation.closure(edges)
+        got = {r.object_id: r.ancestors for r in above.collect()}
+        bad = generation.cyclic(above, spark.createDataFrame([(2, 20), (3, 20), (7, 7), (5, 999)], "object_id long, parent_id long")).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    assert got == {k: [k >> d for d in range(k.bit_length() - 1, 0, -1)] for k in range(1, 40)}
+    assert sorted(map(tuple, bad)) == [(2, 20), (7, 7)]
