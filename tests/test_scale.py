@@ -5,8 +5,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from larkspur import suite, views
 from larkspur.functions import text as texts
-from larkspur.operators import generation
+from larkspur.operators import generation, rollup
+from larkspur.operators.index import Index
+from larkspur.sources import corpus
 
 
 def test_trigrams_of_a_long_text(spark):
@@ -22,7 +25,7 @@ def test_trigrams_of_a_long_text(spark):
 
 def test_proximity_in_a_text_of_one_word(spark):
     """Every token is a start; each start took a pass over all tokens."""
-    rows = spark.createDataFrame([(0, ["the"] * 4000 + ["x", "x", "of"]), (1, ["the"] * 4000 + ["x", "of"]), (2, ["of", "the"]), (3, ["the", "of", "x", "the", "end"])], "k int, found array<string>").repartition(1)
+    rows = spark.createDataFrame([(0, ["the"] * 20_000 + ["x", "x", "of"]), (1, ["the"] * 20_000 + ["x", "of"]), (2, ["of", "the"]), (3, ["the", "of", "x", "the", "end"])], "k int, found array<string>").repartition(1)
     near = lambda words, slop: sorted(r.k for r in rows.where(texts.in_order_within(F.col("found"), words, slop)).collect())
     began = time.perf_counter()
     assert near(["the", "of"], 1) == [1, 3] and near(["the", "of"], 2) == [0, 1, 3]
@@ -43,3 +46,14 @@ def test_closure_has_no_limit_of_rows(spark):
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
     assert got == {k: [k >> d for d in range(k.bit_length() - 1, 0, -1)] for k in range(1, 40)}
     assert sorted(map(tuple, bad)) == [(2, 20), (7, 7)]
+
+
+def test_sql_over_all_hits(spark, tmp_path):
+    """Statements saw the first 1000 hits only."""
+    spark.range(1500).selectExpr("id as doc_id", "if(id % 3 = 0, 'a License', 'b') as text", "'en' as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    store = Index(spark, str(tmp_path / "index"))
+    store.build(corpus.docs(spark, str(tmp_path)), corpus.chunks(spark, str(tmp_path)))
+    count = lambda text: views.sql(spark, store, "SELECT count(*) AS n, count(DISTINCT entry_id) AS ids FROM {hits}", hits=text).first()
+    assert tuple(count("ext:en")) == (1500, 1500) and tuple(count("content:~License")) == (500, 500)
+    assert views.catalog_search(store, "ext:en", limit=3).count() == 3 and views.catalog_search(store, "ext:en", offset=1490).count() == 10
+
