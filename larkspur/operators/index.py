@@ -115,6 +115,11 @@ class Index:
 _opened: dict[tuple[str, str], Index] = {}
 
 
+def is_opened(spark: SparkSession, name: str) -> bool:
+    """Whether opened() has built the index of this name."""
+    return (spark.sparkContext.applicationId, name) in _opened
+
+
 def opened(spark: SparkSession, name: str, entries=None, chunks=None) -> Index:
     """The index of this name in the shared folder, built at its first use in an application; entries() and chunks() give what it is built from."""
     key = (spark.sparkContext.applicationId, name)

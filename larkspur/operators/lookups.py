@@ -88,4 +88,5 @@ def descendants(entries: DataFrame, object_id: int) -> DataFrame:
 def ancestors(entries: DataFrame, object_id: int) -> DataFrame:
     """The directories above an object, nearest first."""
     above = entries.where(F.col("object_id") == object_id).select(F.posexplode(F.reverse("ancestors")).alias("depth", "object_id"))
-    return above.join(entries, "object_id").orderBy("depth")
+    # as many rows as the path has names
+    return entries.join(F.broadcast(above), "object_id").orderBy("depth")

@@ -13,21 +13,26 @@ def is_directory(kind: Column = None) -> Column:
     return (F.col("kind") if kind is None else kind).isin("directory", "virtual_directory")
 
 
-def subtree_rollup(entries: DataFrame) -> DataFrame:
-    """One row for each directory: counts, bytes and extrema over all entries below it.
+def _sums(entries: DataFrame) -> DataFrame:
+    """(source_id, dir_id, ...) of directories that have entries below them.
 
     Every entry is sent to its ancestors; sums are combined before the shuffle, so the rows that move
-    are one for each directory and task. Directories without entries below are kept with zeros."""
+    are one for each directory and task."""
     file = ~is_directory()
     below = entries.withColumn("dir_id", F.explode("ancestors"))
     one = lambda test: F.sum(F.when(test, 1).otherwise(0))
-    sums = below.groupBy("source_id", "dir_id").agg(
+    return below.groupBy("source_id", "dir_id").agg(
         one(file).alias("file_count"), one(~file).alias("dir_count"),
         F.sum(F.when(file, F.col("size")).otherwise(0)).alias("subtree_logical"), F.sum(F.when(file, F.col("allocated")).otherwise(0)).alias("subtree_allocated"),
         F.max(F.when(file, F.col("modified"))).alias("newest_modified"), F.min(F.when(file, F.col("modified"))).alias("oldest_modified"),
         *(one(file & F.col("content_state").isin(*states)).alias(f"{name}_count") for name, states in BUCKETS.items()),
         F.min(F.when(~file, F.col("listed")).otherwise(True)).alias("_complete"),
     )
+
+
+def subtree_rollup(entries: DataFrame) -> DataFrame:
+    """One row for each directory: counts, bytes and extrema over all entries below it. Directories without entries below are kept with zeros."""
+    sums = _sums(entries)
     dirs = entries.where(is_directory()).select("source_id", F.col("object_id").alias("dir_id"), "listed")
     zero = [c for c in sums.columns if c.endswith("_count") or c.startswith("subtree_")]
     return dirs.join(sums, ["source_id", "dir_id"], "left").select("source_id", "dir_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) if c in zero else F.col(c) for c in sums.columns[2:-1]), (F.col("listed") & F.coalesce("_complete", F.lit(True))).alias("complete"))
@@ -69,19 +74,19 @@ def apply_deltas(rollup: DataFrame, deltas: DataFrame, entries: DataFrame) -> Da
 
 
 def entry_documents(entries: DataFrame) -> DataFrame:
-    """The wide table that search scans: entries with folded names, their rollups and extension counts. Missing times are 0."""
-    roll = subtree_rollup(entries).withColumnRenamed("dir_id", "object_id").select("source_id", "object_id", *(F.col(c).alias(f"_{c}") for c in ("file_count", "dir_count", "subtree_logical", "subtree_allocated", "newest_modified")))
+    """The wide table that search scans: entries with folded names, their rollups and extension counts. Missing times are 0. Only directories have
+    rollups, so files go through no join; a query that asks for no rollup leaves the joins out."""
+    directory = F.coalesce(is_directory(), F.lit(False))
+    kept = ("file_count", "dir_count", "subtree_logical", "subtree_allocated", "newest_modified")
+    sums = _sums(entries).select("source_id", F.col("dir_id").alias("object_id"), *(F.col(c).alias(f"_{c}") for c in kept))
     maps = extension_maps(extension_counts(entries)).withColumnRenamed("dir_id", "object_id")
-    docs = entries.join(roll, ["source_id", "object_id"], "left").join(maps, ["source_id", "object_id"], "left")
+    docs = entries.where(directory).join(sums, ["source_id", "object_id"], "left").join(maps, ["source_id", "object_id"], "left")
     docs = docs.withColumns({
-        "subtree_logical": F.when(is_directory(), F.coalesce("_subtree_logical", F.lit(0))).otherwise(F.col("size")),
-        "subtree_allocated": F.when(is_directory(), F.coalesce("_subtree_allocated", F.lit(0))).otherwise(F.col("allocated")),
-        "newest_modified": F.coalesce(F.when(is_directory(), F.col("_newest_modified")).otherwise(F.col("modified")), F.lit(0)),
-        "file_count": F.coalesce("_file_count", F.lit(0)), "dir_count": F.coalesce("_dir_count", F.lit(0)),
+        **{c: F.coalesce(f"_{c}", F.lit(0)).cast("long") for c in kept},
         "modified": F.coalesce("modified", F.lit(0)), "created": F.coalesce("created", F.lit(0)),
         "name_folded": F.lower("name"), "path_folded": F.lower("path"),
     })
-    return docs.drop("_file_count", "_dir_count", "_subtree_logical", "_subtree_allocated", "_newest_modified")
+    return docs.drop(*(f"_{c}" for c in kept)).unionByName(file_documents(entries.where(~directory)))
 
 
 def file_documents(entries: DataFrame) -> DataFrame:

@@ -51,18 +51,29 @@ def _directory(df: DataFrame, id_: Column, parent: Column, name: Column, path: C
     )
 
 
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's nation: keys only, as what is joined by key is shuffled."""
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+
+
+def _placed(rows: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of _ordered() and what was joined to them, with the ids and names of the directories above orders. Nations and regions are a few dozen rows."""
+    spark = rows.sparkSession
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = nation.select("n_nationkey", (F.lit(REGION) + F.col("r_regionkey")).cast("long").alias("r"), (F.lit(NATION) + F.col("n_nationkey")).cast("long").alias("n"), F.concat(F.lit("/star/"), F.lower("r_name"), F.lit("/"), F.lower("n_name"), F.lit("/cust-")).alias("_place"))
+    prefix = F.concat("_place", F.col("o_custkey").cast("string"), F.lit("/order-"), F.col("o_orderkey").cast("string"))
+    found = rows.join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+    return found.withColumns({"c": F.lit(CUSTOMER) + F.col("o_custkey"), "o": F.lit(ORDER) + F.col("o_orderkey"), "prefix": prefix}).drop("_place", "n_nationkey", "c_nationkey")
+
+
 def star_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the ids and names of the directories above them; the dimensions are small or joined by key."""
-    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    prefix = F.concat(F.lit("/star/"), F.lower("r_name"), F.lit("/"), F.lower("n_name"), F.lit("/cust-"), F.col("o_custkey").cast("string"), F.lit("/order-"), F.col("o_orderkey").cast("string"))
-    return orders.select("o_orderkey", (F.lit(REGION) + F.col("r_regionkey")).cast("long").alias("r"), (F.lit(NATION) + F.col("n_nationkey")).cast("long").alias("n"), (F.lit(CUSTOMER) + F.col("o_custkey")).alias("c"), (F.lit(ORDER) + F.col("o_orderkey")).alias("o"), prefix.alias("prefix"))
+    return _placed(_ordered(spark, sf_dir), sf_dir).select("o_orderkey", "r", "n", "c", "o", "prefix")
 
 
 def star_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    above = star_levels(spark, sf_dir)
-    lines = read(spark, sf_dir, "lineitem").join(above, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = _placed(read(spark, sf_dir, "lineitem").join(_ordered(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")), sf_dir)
     id_ = F.lit(FILE) + F.col("l_orderkey") * 10**7 + F.col("l_partkey") * 10 + F.col("l_linenumber")
     ext = F.lower("l_returnflag")
     name = F.concat(F.lit("part-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("."), ext)

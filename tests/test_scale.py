@@ -57,3 +57,22 @@ def test_sql_over_all_hits(spark, tmp_path):
     assert tuple(count("ext:en")) == (1500, 1500) and tuple(count("content:~License")) == (500, 500)
     assert views.catalog_search(store, "ext:en", limit=3).count() == 3 and views.catalog_search(store, "ext:en", offset=1490).count() == 10
 
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_of_files_needs_no_build(spark, small):
+    """A query over files built the whole index first: rollups, wide joins and a sort of all entries."""
+    for name in ("pred_all", "facet_kind", "exclusion_summary", "under_dir", "descendants", "ancestors_nearest"):
+        plan = plan_of(suite.queries()[name](spark, small))
+        assert "larkspur-index" not in plan and "Generate explode(ancestors" not in plan, name
+
+
+def test_documents_join_rollups_to_directories_only(spark, small):
+    docs = rollup.entry_documents(corpus.star(spark, small))
+    assert "Join" in plan_of(docs) and "Generate explode(ancestors" not in plan_of(docs.where("kind = 'file'"))
+    assert "Generate explode(ancestors" not in plan_of(docs.select("entry_id", "path", "kind"))  # no rollup asked for
+    files = docs.where("kind = 'file'").select(sorted(set(docs.columns) - {"extension_counts"}))
+    assert files.exceptAll(rollup.file_documents(corpus.star_files(spark, small)).select(files.columns)).count() == 0 and files.count() > 5000
+
