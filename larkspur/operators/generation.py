@@ -26,33 +26,49 @@ def matched(listing: DataFrame, objects: DataFrame) -> DataFrame:
     return found.withColumns({"retires": F.when(other, F.col("object_id")), "object_id": F.when(~F.coalesce(other, F.lit(False)), F.col("object_id"))}).drop("_kind")
 
 
-def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """object_id, generation, row_changed: a file's generation rises if its size, its time or the decision about it (`becomes`, a content state, if
-    new has it) changed; other columns, but for the time of access, change just the row."""
+def _compared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new with its generation and row_changed, as changed() has them."""
     shipped = [c for c in ("size", "allocated", "attributes", "created", "modified", "changed", "reparse_tag") if c in old.columns and c in new.columns]
-    o = old.select("object_id", "generation", *(F.col(c).alias(f"_{c}") for c in shipped), *([F.col("content_state").alias("_state")] if "becomes" in new.columns else []))
-    j = new.drop("generation").join(o, "object_id", "left")
+    o = old.select(F.col("object_id").alias("_id"), F.col("generation").alias("_generation"), *(F.col(c).alias(f"_{c}") for c in shipped), *([F.col("content_state").alias("_state")] if "becomes" in new.columns else []))
+    # an object may have several names
+    j = new.drop("generation").join(o.dropDuplicates(["_id"]), F.col("object_id") == F.col("_id"), "left")
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     content = differs("size") | differs("modified")
     if "becomes" in new.columns:
         content = content | F.coalesce(F.when(F.col("becomes") == "pending", F.col("_state") == "excluded").otherwise(F.col("_state") != F.col("becomes")), F.lit(False))
     content = (F.col("kind") == "file") & content
-    generation = F.when(F.col("generation").isNull(), 1).otherwise(F.col("generation") + content.cast("int"))
-    return j.select("object_id", generation.cast("long").alias("generation"), reduce(or_, [content, *map(differs, shipped)]).alias("row_changed"))
+    generation = F.when(F.col("_generation").isNull(), 1).otherwise(F.col("_generation") + content.cast("int"))
+    rows = j.withColumns({"generation": generation.cast("long"), "row_changed": reduce(or_, [content, *map(differs, shipped)])})
+    return rows.select(*new.drop("generation").columns, "generation", "row_changed")
+
+
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """object_id, generation, row_changed: a file's generation rises if its size, its time or the decision about it (`becomes`, a content state, if
+    new has it) changed; other columns, but for the time of access, change just the row."""
+    return _compared(old, new).select("object_id", "generation", "row_changed")
 
 
 def published(previous: DataFrame, seen: DataFrame, listed: DataFrame) -> DataFrame:
     """previous with `live`: an entry dies if it was not seen though its parent was listed, and all below what died die too.
     Entries of directories that could not be listed stay. Ancestor closures make the cascade one join."""
-    gone = previous.join(seen.select("entry_id"), "entry_id", "left_anti").join(listed.select(F.col("dir_id").alias("parent_id")), "parent_id", "left_semi")
-    gone = gone.select(F.col("object_id").alias("gone_id"), F.col("kind").isin("directory", "virtual_directory").alias("_dir")).distinct()
+    return _marked(previous, previous, _gone(previous.join(seen.select("entry_id"), "entry_id", "left_anti"), listed))
+
+
+def _gone(unseen: DataFrame, listed: DataFrame) -> DataFrame:
+    """gone_id, _dir of objects that died themselves."""
+    gone = unseen.join(listed.select(F.col("dir_id").alias("parent_id")), "parent_id", "left_semi")
+    return gone.select(F.col("object_id").alias("gone_id"), F.col("kind").isin("directory", "virtual_directory").alias("_dir")).distinct()
+
+
+def _marked(rows: DataFrame, previous: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows, some of previous, with `live`, as published() has it."""
     # files die by their own id; below directories, which are fewer, what hangs on the parent is enough
     dirs = previous.where(F.col("kind").isin("directory", "virtual_directory"))
     above = dirs.select("object_id", F.explode(F.concat("ancestors", F.array("object_id"))).alias("gone_id"))
     dead_dirs = above.join(gone.where("_dir"), "gone_id", "left_semi").select("object_id").distinct()
     dead = dead_dirs.unionByName(gone.where("not _dir").select(F.col("gone_id").alias("object_id"))).select(F.col("object_id").alias("_own"), F.lit(True).alias("_dead"))
     below = dead_dirs.select(F.col("object_id").alias("_parent"), F.lit(True).alias("_orphan"))
-    marked = previous.join(dead, F.col("object_id") == F.col("_own"), "left").join(below, F.col("parent_id") == F.col("_parent"), "left")
+    marked = rows.join(dead, F.col("object_id") == F.col("_own"), "left").join(below, F.col("parent_id") == F.col("_parent"), "left")
     return marked.withColumn("live", F.col("_dead").isNull() & F.col("_orphan").isNull()).drop("_dead", "_orphan", "_own", "_parent")
 
 
@@ -121,12 +137,16 @@ def scan(previous: DataFrame, listing: DataFrame, listed: DataFrame, errors: int
     listed: directories whose children are known. Entries that were not seen under listed directories die, with all below; others are taken over, new ones
     come in, changed files get their next generation. Gives the new entries and the state in which they are published."""
     base = previous if "generation" in previous.columns else previous.withColumn("generation", F.lit(1).cast("long"))
-    kept = published(base, listing, listed).where("live").drop("live")
-    versions = changed(base.select("object_id", "generation", "size", "allocated", "attributes", "created", "modified"), listing)
-    fresh = listing.drop("generation").join(versions.select("object_id", "generation"), "object_id")
-    unseen = kept.join(listing.select("entry_id"), "entry_id", "left_anti")
+    fresh = _compared(base.select("object_id", "generation", "size", "allocated", "attributes", "created", "modified"), listing)
+    # what was seen stays as it was seen, so only the rest is asked whether it lives. It is few rows as a rule, whose keys later steps take from the shared folder
+    left = stored(base.select("entry_id", "object_id", "parent_id", "kind").join(listing.select("entry_id"), "entry_id", "left_anti"))
+    live = stored(_marked(left, base, stored(_gone(left, listed))).where("live").select("entry_id"))
+    unseen = base.join(live, "entry_id", "left_semi")
     entries = unseen.unionByName(fresh.select(unseen.columns))
-    root_listed = bool(listed.join(entries.where("parent_id is null").select(F.col("object_id").alias("dir_id")), "dir_id", "left_semi").head(1))
-    unfinished = len(entries.where(F.col("content_state").isin("pending", "stale", "failed")).head(1))
-    state = final_state(errors, content_enabled, unfinished, root_listed, bool(previous.head(1)))
-    return entries, state
+    # all that was seen is among the entries
+    some = lambda test: test(listing) or test(unseen)
+    root_listed = some(lambda rows: bool(listed.join(rows.where("parent_id is null").select(F.col("object_id").alias("dir_id")), "dir_id", "left_semi").head(1)))
+    if not root_listed:
+        return entries, final_state(errors, content_enabled, 0, False, bool(previous.head(1)))
+    unfinished = content_enabled and not errors and some(lambda rows: bool(rows.where(F.col("content_state").isin("pending", "stale", "failed")).select("entry_id").head(1)))
+    return entries, final_state(errors, content_enabled, int(unfinished))

@@ -76,3 +76,17 @@ def test_documents_join_rollups_to_directories_only(spark, small):
     files = docs.where("kind = 'file'").select(sorted(set(docs.columns) - {"extension_counts"}))
     assert files.exceptAll(rollup.file_documents(corpus.star_files(spark, small)).select(files.columns)).count() == 0 and files.count() > 5000
 
+
+def test_scan_of_entries_with_several_names(spark):
+    """Two names of one object gave four rows; a scan made every row of the catalog several times over."""
+    rows = [(1, 1, 1, None, "directory", "unknown", [], 0), (1, 2, 2, 1, "directory", "unknown", [1], 0), (1, 3, 3, 1, "directory", "unknown", [1], 0), (1, 4, 9, 2, "file", "indexed", [1, 2], 5), (1, 5, 9, 2, "file", "indexed", [1, 2], 5), (1, 6, 6, 3, "file", "indexed", [1, 3], 5), (1, 7, 7, 1, "file", "indexed", [1], 5)]
+    schema = "source_id long, entry_id long, object_id long, parent_id long, kind string, content_state string, ancestors array<long>, size long"
+    old = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0).cast("long") for c in ("allocated", "attributes", "created", "modified")})
+    seen = old.where("entry_id not in (3, 6, 7)").withColumn("size", F.when(F.col("kind") == "file", F.lit(6)).otherwise(F.col("size")).cast("long"))
+    entries, state = generation.scan(old, seen, spark.createDataFrame([(1,), (2,), (3,)], "dir_id long"))
+    assert sorted((r.entry_id, r.generation) for r in entries.collect()) == [(1, 1), (2, 1), (4, 2), (5, 2)] and state == "complete"
+    entries, state = generation.scan(old, seen.withColumn("content_state", F.lit("pending")), spark.createDataFrame([(1,), (2,)], "dir_id long"))
+    assert sorted(r.entry_id for r in entries.collect()) == [1, 2, 4, 5] and state == "content_pending"
+    entries, state = generation.scan(old, seen, spark.createDataFrame([(2,)], "dir_id long"))
+    assert sorted(r.entry_id for r in entries.collect()) == [1, 2, 3, 4, 5, 6, 7] and state == "offline"
+
