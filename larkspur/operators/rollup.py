@@ -65,8 +65,9 @@ def apply_deltas(rollup: DataFrame, deltas: DataFrame, entries: DataFrame) -> Da
     new = rollup.join(d, ["source_id", "dir_id"], "left")
     for c in added:
         new = new.withColumn(c, F.col(c) + F.coalesce(f"d_{c}", F.lit(0)))
+    # extrema of each task come before the join: all files are below the root, and their rows would meet in one task
     below = entries.where(~is_directory()).select("source_id", F.explode("ancestors").alias("dir_id"), "modified")
-    fresh = below.join(deltas.select("source_id", "dir_id"), ["source_id", "dir_id"], "left_semi").groupBy("source_id", "dir_id").agg(F.max("modified").alias("_new"), F.min("modified").alias("_old"))
+    fresh = below.groupBy("source_id", "dir_id").agg(F.max("modified").alias("_new"), F.min("modified").alias("_old"))
     new = new.join(fresh, ["source_id", "dir_id"], "left")
     touched = F.coalesce("_touched", F.lit(False))
     new = new.withColumn("newest_modified", F.when(touched, F.col("_new")).otherwise(F.col("newest_modified"))).withColumn("oldest_modified", F.when(touched, F.col("_old")).otherwise(F.col("oldest_modified")))

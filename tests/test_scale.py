@@ -90,3 +90,8 @@ def test_scan_of_entries_with_several_names(spark):
     entries, state = generation.scan(old, seen, spark.createDataFrame([(2,)], "dir_id long"))
     assert sorted(r.entry_id for r in entries.collect()) == [1, 2, 3, 4, 5, 6, 7] and state == "offline"
 
+
+def test_extrema_of_touched_directories_are_combined_before_the_join(spark, small):
+    """All files are below the root; their rows met in the task that joins it."""
+    plan = suite.queries()["rollup_delta_equals_full"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
