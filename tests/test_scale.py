@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur import suite, views
 from larkspur.functions import text as texts
 from larkspur.operators import generation, rollup
-from larkspur.operators.index import Index
+from larkspur.operators.index import Index, postings_of
 from larkspur.sources import corpus
 
 
@@ -95,3 +95,17 @@ def test_extrema_of_touched_directories_are_combined_before_the_join(spark, smal
     """All files are below the root; their rows met in the task that joins it."""
     plan = suite.queries()["rollup_delta_equals_full"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
+
+
+def test_ranked_search_needs_no_build(spark, small):
+    """One ranked query over documents built the whole index first."""
+    for name in ("content_ranked_bm25", "content_ranked_page"):
+        assert "larkspur-index" not in plan_of(suite.queries()[name](spark, small)), name
+
+
+def test_postings_are_counted_in_their_chunk(spark):
+    """Occurrences were counted by a shuffle of all tokens."""
+    chunks = spark.createDataFrame([(1, 1, 0, "b a B c b"), (1, 1, 1, "a"), (2, 1, 0, " -- "), (3, 1, 0, None)], "object_id long, generation long, ordinal int, text string")
+    postings, lengths = postings_of(chunks)
+    assert sorted(map(tuple, postings.collect())) == [("a", 1, 0, 1), ("a", 1, 1, 1), ("b", 1, 0, 3), ("c", 1, 0, 1)]
+    assert "Aggregate" not in plan_of(postings) and postings.schema["tf"].dataType.simpleString() == "bigint" and lengths.count() == 4
