@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +67,31 @@ def chunk_lines(text: str, target: int = CHUNK_BYTES, longest: int = MAX_LINE) -
 
 
 _CHUNK_SCHEMA = "object_id long, generation long, ordinal int, byte_start long, byte_end long, first_line long, lines long, text string, split_line boolean"
+#: Text and rows of a batch that goes back to the JVM, about.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
 
 
 def chunked(texts: DataFrame) -> DataFrame:
-    """Chunks of rows (object_id, generation, text)."""
+    """Chunks of rows (object_id, generation, text). A worker takes one text at a time out of what it is sent and gives back batches of bounded
+    size, so its memory doesn't follow the texts, and short texts don't make a batch each."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in _CHUNK_SCHEMA.split(", "))])
 
     def run(batches):
         for b in batches:
-            for o, g, t in zip(b["object_id"], b["generation"], b["text"]):
-                rows = [{"object_id": o, "generation": g, **c} for c in chunk_lines(t or "")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK_SCHEMA.split(", ")])
-
-    return texts.select("object_id", "generation", "text").mapInPandas(run, _CHUNK_SCHEMA)
+            rows, held = [], 0
+            for o, g, t in zip(*(b.column(c) for c in ("object_id", "generation", "text"))):
+                o, g = o.as_py(), g.as_py()
+                for c in chunk_lines(t.as_py() or ""):
+                    rows.append({"object_id": o, "generation": g, **c})
+                    held += c["byte_end"] - c["byte_start"]
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return texts.select("object_id", "generation", "text").mapInArrow(run, _CHUNK_SCHEMA)
 
 
 def extract(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:

@@ -3,13 +3,14 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larkspur import suite, views
 from larkspur.functions import text as texts
 from larkspur.operators import generation, rollup
 from larkspur.operators.index import Index, postings_of
-from larkspur.sources import corpus
+from larkspur.sources import corpus, textfiles
 
 
 def test_trigrams_of_a_long_text(spark):
@@ -109,3 +110,15 @@ def test_postings_are_counted_in_their_chunk(spark):
     postings, lengths = postings_of(chunks)
     assert sorted(map(tuple, postings.collect())) == [("a", 1, 0, 1), ("a", 1, 1, 1), ("b", 1, 0, 3), ("c", 1, 0, 1)]
     assert "Aggregate" not in plan_of(postings) and postings.schema["tf"].dataType.simpleString() == "bigint" and lengths.count() == 4
+
+
+def test_chunks_come_in_batches_of_bounded_size(spark):
+    """Each text made a table of its own, however short; all chunks of a long one came at once."""
+    rows = [(k, 1, "line\n" * k) for k in range(2500)] + [(9999, 2, ("x" * 99 + "\n") * 40_000), (10_000, 1, None), (10_001, 1, "")]
+    texts_ = spark.createDataFrame(rows, "object_id long, generation long, text string").repartition(1)
+    sizes = textfiles.chunked(texts_).select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pylist([{"n": b.num_rows, "b": b.nbytes}]) for b in bs), "n long, b long").collect()
+    assert len(sizes) < 40  # 2500 before
+    got = {(r.object_id, r.generation): (r.n, r.bytes, r.lines) for r in textfiles.chunked(texts_).groupBy("object_id", "generation").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.sum("lines").alias("lines")).collect()}
+    assert got[(7, 1)] == (1, 35, 7) and got[(9999, 2)] == (244, 4_000_000, 40_000) and len(got) == 2500
+    chunks = textfiles.chunked(texts_).where("object_id = 9999").orderBy("ordinal").collect()
+    assert "".join(c.text for c in chunks) == rows[2500][2] and [c.ordinal for c in chunks] == list(range(244))
