@@ -122,3 +122,10 @@ def test_chunks_come_in_batches_of_bounded_size(spark):
     assert got[(7, 1)] == (1, 35, 7) and got[(9999, 2)] == (244, 4_000_000, 40_000) and len(got) == 2500
     chunks = textfiles.chunked(texts_).where("object_id = 9999").orderBy("ordinal").collect()
     assert "".join(c.text for c in chunks) == rows[2500][2] and [c.ordinal for c in chunks] == list(range(244))
+
+
+def test_day_of_a_time_before_1970(spark):
+    """Days are floored, as the reference's are (div_euclid), also before 1970."""
+    day = 86_400 * 10**9
+    rows = spark.createDataFrame([(-2800 * 10**9,), (-day,), (-1,), (0,), (day + 1,)], "t long")
+    assert [r.d for r in rows.select(texts.utc_day(F.col("t")).alias("d")).collect()] == [-day, -day, -day, 0, day]
