@@ -106,15 +106,17 @@ def rules_preview(entries: DataFrame, rules: Sequence[tuple[str, str, bool]], mo
 
 def applied(entries: DataFrame, rules: Sequence[tuple[str, str, bool]], **options) -> DataFrame:
     """entries after a change of rules: files whose state changes get a new generation; `purged` marks those whose chunks go."""
-    becomes = initial_state(decision(rules, **options))
-    moved = (F.col("kind") == "file") & F.when(becomes == "pending", F.col("content_state") == "excluded").otherwise(F.col("content_state") != becomes)
-    rows = entries.withColumns({"_moved": moved, "_becomes": becomes})
+    # the decision is a column of its own, so that what uses it doesn't make it again
+    rows = entries.withColumn("_reason", decision(rules, **options))
+    rows = rows.withColumn("_becomes", initial_state(F.col("_reason")))
+    moved = F.when(F.col("_becomes") == "pending", F.col("content_state") == "excluded").otherwise(F.col("content_state") != F.col("_becomes"))
+    rows = rows.withColumn("_moved", (F.col("kind") == "file") & moved)
     rows = rows.withColumns({
         "purged": F.col("_moved") & (F.col("_becomes") != "pending"),
         "generation": F.coalesce("generation", F.lit(1)) + F.col("_moved").cast("int") if "generation" in entries.columns else F.lit(1) + F.col("_moved").cast("int"),
         "content_state": F.when(F.col("_moved"), F.col("_becomes")).otherwise(F.col("content_state")),
     })
-    return rows.drop("_moved", "_becomes")
+    return rows.drop("_moved", "_becomes", "_reason")
 
 
 def completeness(sources: DataFrame, counts: DataFrame) -> DataFrame:
